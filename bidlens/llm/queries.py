@@ -5,14 +5,38 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import ngram_join
+from . import language_id, ngram_join, toxicity
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _remainder(n: int):
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(n))
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, lang_pred, score of every document."""
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.train(docs)
+    return language_id.with_language(docs.select("doc_id", "text"), model).select("doc_id", (_remainder(4) == 2).alias("held_out"), "lang_pred", "score")
 
 
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_shingles, component_id of every document."""
-    return ngram_join.jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return ngram_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score, predicted of every document."""
+    docs = table(spark, sf_dir, "documents")
+    weights = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    scored = toxicity.with_toxicity(docs.select("doc_id", "text"), weights)
+    return scored.select("doc_id", (_remainder(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op8_ngram_jaccard,)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op5_language_id, op8_ngram_jaccard, op10_toxicity)}
 ORACLES: dict[str, str] = {}
