@@ -141,51 +141,71 @@ class Items:
         return best, at
 
 
-def found(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, least: int = LEAST) -> DataFrame:
-    """The columns of ``docs`` but its text, then item_id, edits and end_char: a row for each item found in a row."""
-    spark = docs.sparkSession
+    def hits(self, column: pa.Array) -> dict[tuple[int, int], tuple[int, int]]:
+        """(row, item) to (fewest edits, end) for what is found in a text column."""
+        out: dict[tuple[int, int], tuple[int, int]] = {}
+        for start, _, d, o in chunks(*column_bytes(column)):
+            d, o = normalised(d, o)
+            row, item, diagonal = self.candidates(d, o)
+            for a in range(0, len(row), 256):
+                part = slice(a, a + 256)
+                best, at = self.align(d, o, row[part], item[part], diagonal[part])
+                for k in np.flatnonzero(best <= self.edits[item[part]]).tolist():
+                    key, value = (int(row[a + k]) + start, int(item[a + k])), (int(best[k]), int(at[k]))
+                    out[key] = min(out.get(key, value), value)
+        return out
+
+
+def slices(benchmark: DataFrame, rate: float, least: int) -> Iterator[Items]:
+    """The benchmark's items, at most about SLICE_BYTES of text at a time."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null and item_id is not null")
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    slices = -(-size // SLICE_BYTES)
-    text = next(f.name for f in docs.schema.fields if f.name.lower() == "text")
-    keep = [f for f in docs.schema.fields if f.name != text and f.name.lower() not in ("item_id", "edits", "end_char")]
-    schema = T.StructType(keep + [T.StructField("item_id", T.LongType()), T.StructField("edits", T.LongType()), T.StructField("end_char", T.LongType())])
-    out = spark.createDataFrame([], schema)
-    for part in range(slices):
-        rows = sorted((r["item_id"], r["text"]) for r in items.where(F.pmod(F.xxhash64("item_id"), F.lit(slices)) == part).distinct().collect())
+    n = -(-size // SLICE_BYTES)
+    for part in range(n):
         plain = []
-        for i, t in rows:
+        for i, t in sorted((r["item_id"], r["text"]) for r in items.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == part).distinct().collect()):
             raw = np.frombuffer(t.strip().encode(), np.uint8)
             norm = normalised(raw, np.array([0, len(raw)]))[0].tobytes()
             if len(norm) >= max(least, Q + 1):
                 plain.append((i, norm))
-        if not plain:
-            continue
-        shared = spark.sparkContext.broadcast(Items(plain, rate))
+        if plain:
+            yield Items(plain, rate)
+
+
+def found(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, least: int = LEAST) -> DataFrame:
+    """The columns of ``docs`` but its text, then item_id, edits and end_char: a row for each item found in a row."""
+    spark = docs.sparkSession
+    text = next(f.name for f in docs.schema.fields if f.name.lower() == "text")
+    keep = [f for f in docs.schema.fields if f.name != text and f.name.lower() not in ("item_id", "edits", "end_char")]
+    schema = T.StructType(keep + [T.StructField(n, T.LongType()) for n in ("item_id", "edits", "end_char")])
+    out = spark.createDataFrame([], schema)
+    for items in slices(benchmark, rate, least):
+        shared = spark.sparkContext.broadcast(items)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            known = shared.value
             for batch in batches:
-                hits = []
-                for start, _, d, o in chunks(*column_bytes(batch.column(batch.schema.get_field_index(text)))):
-                    d, o = normalised(d, o)
-                    row, item, diagonal = known.candidates(d, o)
-                    for a in range(0, len(row), 256):
-                        part = slice(a, a + 256)
-                        best, at = known.align(d, o, row[part], item[part], diagonal[part])
-                        ok = np.flatnonzero(best <= known.edits[item[part]])
-                        hits += zip((row[part][ok] + start).tolist(), item[part][ok].tolist(), best[ok].tolist(), at[ok].tolist(), strict=True)
-                if not hits:
-                    continue
-                least_of: dict[tuple[int, int], tuple[int, int]] = {}
-                for r, i, e, at in hits:
-                    least_of[r, i] = min(least_of.get((r, i), (e, at)), (e, at))
-                rows = sorted(least_of)
-                picked = batch.take(pa.array([r for r, _ in rows], pa.int64()))
-                yield pa.RecordBatch.from_arrays(
-                    [picked.column(picked.schema.get_field_index(f.name)) for f in keep] + [pa.array([known.ids[i] for _, i in rows], pa.int64()), pa.array([least_of[x][0] for x in rows], pa.int64()), pa.array([least_of[x][1] for x in rows], pa.int64())],
-                    names=[f.name for f in schema.fields],
-                )
+                got = shared.value.hits(batch.column(batch.schema.get_field_index(text)))
+                if got:
+                    rows = sorted(got)
+                    picked = batch.take(pa.array([r for r, _ in rows], pa.int64()))
+                    new = [[shared.value.ids[i] for _, i in rows], [got[x][0] for x in rows], [got[x][1] for x in rows]]
+                    yield pa.RecordBatch.from_arrays([picked.column(picked.schema.get_field_index(f.name)) for f in keep] + [pa.array(c, pa.int64()) for c in new], names=schema.names)
 
         out = out.unionByName(docs.mapInArrow(run, schema))
     return out
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, least: int = LEAST) -> DataFrame:
+    """The rows of ``docs`` in which no item is found, all columns."""
+    text = next(f.name for f in docs.schema.fields if f.name.lower() == "text")
+    for items in slices(benchmark, rate, least):
+        shared = docs.sparkSession.sparkContext.broadcast(items)
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                keep = np.ones(batch.num_rows, bool)
+                keep[[r for r, _ in shared.value.hits(batch.column(batch.schema.get_field_index(text)))]] = False
+                yield batch.filter(pa.array(keep))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs

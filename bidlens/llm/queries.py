@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, ngram_join, toxicity
+from . import avi, bpe, decontamination, html_text, language_id, licences, ngram_join, toxicity, url_rules, warc
+
+try:
+    import public_tokenizers
+
+    BPE_FILE = public_tokenizers.path("byte_bpe_50k.json")
+except ModuleNotFoundError:
+    BPE_FILE = os.environ.get("BIDLENS_BPE_FILE", "/opt/tokenizers/byte_bpe_50k.json")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +26,30 @@ def _remainder(n: int):
     return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(n))
 
 
+def op1_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Damaged records of a replica of the pages' WARC records: place, page_id, file, offset, length, both digests."""
+    pages = table(spark, sf_dir, "pages")
+    primary = warc.placed(warc.digests(pages))
+    replica = warc.placed(warc.digests(warc.damaged(pages)))
+    return warc.audit(primary, replica)
+
+
+def op2_avi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id and digests of every document's text stored as an AVI motion-JPEG file and read back."""
+    return avi.with_digests(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document."""
+    return bpe.with_digests(table(spark, sf_dir, "documents").select("doc_id", "text"), BPE_FILE).drop("text")
+
+
+def op4_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_sentences, sentence_ids and licences (joined by spaces) of every document."""
+    found = licences.scanned(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", F.size("sentence_ids").cast("long").alias("n_sentences"), F.array_join("sentence_ids", " ").alias("sentence_ids"), F.array_join("licences", " ").alias("licences"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every document."""
     docs = table(spark, sf_dir, "documents")
@@ -25,11 +57,30 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.with_language(docs.select("doc_id", "text"), model).select("doc_id", (_remainder(4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, url, text, n_chars of every page."""
+    return html_text.with_main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "url", "text", "n_chars")
+
+
+#: The given url rules: host, path, verdict.
+URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
+
+
+def op7_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, host, path, rule, verdict of every page."""
+    return url_rules.judged(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_shingles, component_id of every document."""
     return ngram_join.jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, item_id, edits, end_char: the benchmark items found in documents."""
+    return decontamination.found(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, held_out, score, predicted of every document."""
     docs = table(spark, sf_dir, "documents")
@@ -38,5 +89,26 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (_remainder(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op5_language_id, op8_ngram_jaccard, op10_toxicity)}
-ORACLES: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f for f in (op1_warc_fixity, op2_avi, op3_bpe, op4_licences, op5_language_id, op6_html_text, op7_url_rules, op8_ngram_jaccard, op9_decontamination, op10_toxicity)
+}
+
+ORACLES: dict[str, str] = {
+    "op4_licences": licences.oracle(),
+    "op1_warc_fixity": f"""
+WITH rec AS (
+  SELECT page_id, CASE WHEN page_id % 97 = 13 AND length(html) > 0 THEN 1 ELSE 0 END AS hit,
+    'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10)
+      || 'WARC-Record-ID: <urn:page:' || coalesce(CAST(page_id AS VARCHAR), '') || '>' || chr(13) || chr(10) || 'Content-Length: ' AS head,
+    coalesce(html, '') AS body FROM pages),
+both_ AS (
+  SELECT page_id, head || strlen(body) || chr(13) || chr(10) || chr(13) || chr(10) || body || chr(13) || chr(10) || chr(13) || chr(10) AS a,
+    CASE WHEN hit = 1 THEN chr(7) || substr(body, 2) ELSE body END AS body2, head FROM rec),
+full_ AS (SELECT page_id, a, head || strlen(body2) || chr(13) || chr(10) || chr(13) || chr(10) || body2 || chr(13) || chr(10) || chr(13) || chr(10) AS b FROM both_),
+placed AS (
+  SELECT row_number() OVER (ORDER BY page_id NULLS FIRST, sha256(a)) - 1 AS place, page_id, CAST(strlen(a) AS BIGINT) AS length, sha256(a) AS digest, sha256(b) AS replica_digest FROM full_),
+files AS (SELECT *, place // {warc.PER_FILE} AS file FROM placed)
+SELECT place, page_id, file, "offset", length, digest, replica_digest FROM (
+  SELECT *, CAST(coalesce(sum(length) OVER (PARTITION BY file ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset" FROM files)
+WHERE digest <> replica_digest""",
+}
