@@ -1,4 +1,5 @@
 """All named queries of the library and their SQL twins."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from bidlens.plans.queries import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
