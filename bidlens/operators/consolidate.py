@@ -102,18 +102,25 @@ def low_confidence(fields: DataFrame, threshold: float = 0.7) -> DataFrame:
 
 
 def fields(spans: DataFrame, as_of: datetime.date = AS_OF) -> DataFrame:
-    """doc_id, field_name, primary_value, normalized_value, confidence, n_candidates, kind, start, end.
+    """doc_id, field_name, primary_value, normalized_value, confidence, n_candidates, kind, start, end, ref, source.
 
     A deposit above the bid amount has its confidence halved and the conflict kind ``deposit``.
+    Spans are dealt out by document once; every window below keeps to that.
     """
-    unique = dedupe(spans)
-    n = unique.groupBy("doc_id", "field_name").agg(F.count(F.lit(1)).alias("n_candidates"))
-    over = deposit_check(unique).where("exceeds").select("doc_id", F.lit("deposit").alias("field_name"), F.lit(True).alias("_over"))
-    out = primary(unique, as_of).join(n, ["doc_id", "field_name"]).join(conflicts(unique).select("doc_id", "field_name", "kind"), ["doc_id", "field_name"]).join(over, ["doc_id", "field_name"], "left")
-    return out.select(
-        "doc_id", "field_name", F.col("value").alias("primary_value"), "normalized_value",
-        F.when(F.col("_over"), F.col("confidence") * 0.5).otherwise(F.col("confidence")).alias("confidence"),
-        "n_candidates", F.when(F.col("_over"), F.lit("deposit")).otherwise(F.col("kind")).alias("kind"), "start", "end", "ref", "source",
+    df = dedupe(spans.repartition("doc_id")).withColumns({"_n": numeric(F.col("value"), F.col("normalized_value")), "_ok": plausible(as_of), "_shown": shown()})
+    group, doc = W.partitionBy("doc_id", "field_name"), W.partitionBy("doc_id")
+    df = df.withColumns({
+        "n_candidates": F.count(F.lit(1)).over(group), "_values": F.size(F.collect_set("_shown").over(group)), "_numbers": F.count("_n").over(group), "_low": F.min("_n").over(group), "_high": F.max("_n").over(group),
+        "_sure": F.row_number().over(by_confidence()), "_rn": F.row_number().over(group.orderBy(F.desc("_ok"), F.desc("confidence"), "ord")),
+    })
+    top = lambda f: F.max(F.when((F.col("field_name") == f) & (F.col("_sure") == 1), F.col("normalized_value").try_cast("decimal(20,2)"))).over(doc)
+    df = df.withColumns({"_amount": top("bid_amount"), "_deposit": top("deposit")}).where("_rn = 1")
+    over = F.coalesce((F.col("field_name") == "deposit") & (F.col("_amount") > 0) & (F.col("_deposit") > F.col("_amount")), F.lit(False))
+    wide = (F.col("_numbers") > 1) & (F.col("_high") / F.greatest("_low", F.lit(0.01)) > 5)
+    kind = F.when(over, "deposit").when((F.col("_values") > 1) & wide, "range").when(F.col("_values") > 3, "count")
+    return df.select(
+        "doc_id", "field_name", F.col("value").alias("primary_value"), "normalized_value", F.when(over, F.col("confidence") * 0.5).otherwise(F.col("confidence")).alias("confidence"),
+        "n_candidates", kind.alias("kind"), "start", "end", "ref", "source",
     )
 
 

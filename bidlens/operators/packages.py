@@ -50,8 +50,8 @@ def cycles(docs: DataFrame) -> DataFrame:
             if keep == live:
                 break
             live = keep
-        ids = sorted({a for a, _ in live})
-        return pd.DataFrame({"package_id": [pdf["package_id"].iloc[0]] * len(ids), "id": ids})
+        package = pdf["package_id"].iloc[0]
+        return pd.DataFrame([(package, a) for a in sorted({a for a, _ in live})], columns=["package_id", "id"], dtype=object)
 
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
     return edges(docs).where("id <> target").distinct().groupBy("package_id").applyInPandas(rings, f"package_id {kinds['package_id']}, id {kinds['id']}")

@@ -27,29 +27,27 @@ def token_similarity(a: Column, b: Column) -> Column:
     return F.when((a == 0) & (b == 0), 1.0).when((a == 0) | (b == 0), 0.0).otherwise(F.least(a, b) / F.greatest(a, b))
 
 
-@F.pandas_udf("double")
-def indel_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+def indel(x: str | None, y: str | None) -> float:
     """Twice the longest common subsequence over both lengths, by bit-parallel rows; 1 for two empty texts."""
+    x, y = x or "", y or ""
+    if x == y:
+        return 1.0
+    at: dict[str, int] = {}
+    for i, c in enumerate(x):
+        at[c] = at.get(c, 0) | 1 << i
+    ones = (1 << len(x)) - 1
+    row = ones
+    for c in y:
+        hit = row & at.get(c, 0)
+        row = ((row + hit) | (row - hit)) & ones
+    return 2 * (len(x) - row.bit_count()) / (len(x) + len(y))
 
-    def ratio(x: str, y: str) -> float:
-        x, y = x or "", y or ""
-        if not x and not y:
-            return 1.0
-        if x == y:
-            return 1.0
-        at: dict[str, int] = {}
-        for i, c in enumerate(x):
-            at[c] = at.get(c, 0) | 1 << i
-        ones = (1 << len(x)) - 1
-        row = ones
-        for c in y:
-            hit = row & at.get(c, 0)
-            row = (row + hit) | (row - hit)
-            row &= ones
-        common = len(x) - row.bit_count()
-        return 2 * common / (len(x) + len(y))
-
-    return pd.Series([ratio(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
+
+def indel_ratio(a: Column, b: Column) -> Column:
+    def ratios(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([indel(i, j) for i, j in zip(x, y, strict=True)], dtype="float64")
+
+    return F.pandas_udf(ratios, "double")(a, b)
 
 
 def char_jaccard(a: Column, b: Column) -> Column:
@@ -73,7 +71,7 @@ def pairs(chunks: DataFrame, threshold: float = THRESHOLD, ratio: bool = True) -
     la, lb = F.length("a_content"), F.length("b_content")
     bound = F.when(la + lb == 0, 1.0).otherwise(2 * F.least(la, lb) / (la + lb)) if ratio else F.lit(1.0)
     joined = joined.withColumns({"_path": path, "_size": size}).where(similarity(bound, F.col("_path"), F.col("_size")) >= threshold - 1e-9)
-    content = indel_ratio("a_content", "b_content") if ratio else char_jaccard(F.col("a_content"), F.col("b_content"))
+    content = indel_ratio(F.col("a_content"), F.col("b_content")) if ratio else char_jaccard(F.col("a_content"), F.col("b_content"))
     scored = joined.withColumn("_content", content).withColumn("score", similarity(F.col("_content"), F.col("_path"), F.col("_size")))
     return scored.where(F.col("score") >= threshold).select("doc_id", F.col("a_chunk_no").alias("a_no"), F.col("b_chunk_no").alias("b_no"), "score")
 

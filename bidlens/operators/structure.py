@@ -94,7 +94,7 @@ def recursive_split(body: str, most: int, overlap: int = 0, separators: tuple[st
             continue
         if held and size("".join(held) + p) > most:
             flush()
-            while held and (size("".join(held)) > overlap or size("".join(held) + p) > most):
+            while held and (overlap == 0 or size("".join(held)) > overlap or size("".join(held) + p) > most):
                 held.pop(0)
         held.append(p)
     flush()

@@ -483,7 +483,7 @@ def entity_stats(spark, d):
     return people.entity_stats(people.entities(corpus(spark, d)))
 
 
-@query(f"WITH {K} SELECT doc_id, make_date(y, m, d) AS iso, make_date(y, m, d) AS us, CAST(NULL AS DATE) AS none FROM k")
+@query(f"WITH {K} SELECT doc_id, TRY(make_date(y, m, d)) AS iso, TRY(make_date(y, m, d)) AS us, CAST(NULL AS DATE) AS none FROM k")
 def date_parse(spark, d):
     iso, us = F.concat_ws("-", "y", "m", "d"), F.concat_ws("/", "m", "d", "y")
     return facts(spark, d).select("doc_id", dates.parsed(iso).alias("iso"), dates.parsed(us).alias("us"), dates.parsed(F.concat(F.col("y").cast("string"), F.lit("年2月30日"))).alias("none"))
