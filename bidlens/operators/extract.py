@@ -7,6 +7,7 @@ within its document (rule order, then match order).
 
 from __future__ import annotations
 
+import re._parser as sre
 from collections.abc import Iterator
 
 import pandas as pd
@@ -19,6 +20,31 @@ from bidlens.operators.rules import NEXT_LABEL, bank
 #: Characters of context kept on both sides of a match.
 AROUND = 80
 
+
+
+def literals(pattern: str) -> tuple[str, ...]:
+    """Strings of which a match starts with one, where the pattern says so plainly and case plays no part; else none."""
+    parsed = list(sre.parse(pattern))
+
+    def lead(items: list) -> str:
+        out = ""
+        for kind, value in items:
+            if kind is not sre.LITERAL:
+                break
+            out += chr(value)
+        return out
+
+    kind, value = parsed[0]
+    starts = tuple(lead(list(b)) for b in value[1]) if kind is sre.BRANCH else (lead(parsed),)
+    ok = all(s and s.lower() == s.upper() for s in starts)
+    return starts if ok else ()
+
+
+def characters(pattern: str) -> str:
+    """Characters without case that every match holds."""
+    return "".join(sorted({chr(v) for k, v in sre.parse(pattern) if k is sre.LITERAL and chr(v).lower() == chr(v).upper()}))
+
+
 RAW = "field_name string, ord int, raw string, full_match string, start int, end int, confidence double, pattern string, ref string"
 
 
@@ -31,13 +57,15 @@ def raw_spans(docs: DataFrame, rules: list[tuple] | None = None, fields: list[st
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import re
 
-        compiled = [(f, i, d, c, re.compile(p, re.I | re.M)) for f, i, d, c, p in rules]
+        compiled = [(f, d, c, re.compile(p, re.I | re.M), literals(p), characters(p)) for f, _, d, c, p in rules]
         names = [f.name for f in keep]
         for batch in batches:
             rows = []
             for key, body in zip(batch[names].itertuples(index=False, name=None), batch[content], strict=True):
                 body, n = body or "", 0
-                for field, _, description, confidence, pattern in compiled:
+                for field, description, confidence, pattern, starts, must in compiled:
+                    if (starts and not any(s in body for s in starts)) or not all(c in body for c in must):
+                        continue
                     for m in pattern.finditer(body):
                         raw = ((m[1] if m.re.groups else m[0]) or "").strip()
                         if raw:
