@@ -7,6 +7,7 @@ bounded by the longest text and not by the batch.
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -32,7 +33,7 @@ _powers: dict[str, np.ndarray] = {}
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE**i and its inverse for i below n, kept for the life of the worker."""
-    if len(_powers.get("up", ())) < n:
+    if len(_powers.get("up", ())) < max(n, 1):
         size = max(n, 2 * CHUNK_BYTES)
         for name, base in (("up", BASE), ("down", _INV)):
             out = np.full(size, base, np.uint64)
@@ -106,6 +107,7 @@ def with_columns(df: DataFrame, fields: list[tuple[str, T.DataType]], make: Call
     ``make()`` runs once in a worker and gives a function from (bytes, offsets) of a chunk
     to a list of arrays, one for each field. Columns of the same name (any case) give way.
     """
+    lean(df.sparkSession)
     names = {n.lower() for n, _ in fields}
     keep = [f for f in df.schema.fields if f.name.lower() not in names or f.name == text]
     schema = T.StructType(keep + [T.StructField(n, t) for n, t in fields])
@@ -139,9 +141,34 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+#: Rows and bytes of an Arrow batch at most, so that a task's copies of it (both ways, in both processes) stay small.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1000, "spark.sql.execution.arrow.maxBytesPerBatch": 8 << 20}
+
+
+def lean(spark: SparkSession) -> None:
+    """Lower the session's batch limits to BATCH where they are above it."""
+    for key, most in BATCH.items():
+        now = str(spark.conf.get(key)).rstrip("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, most)
+
+
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Arrow batches of at most ``rows`` rows for what is run inside: for rows that are large."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(key)
+    spark.conf.set(key, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, old)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read again: its lineage ends there."""
     spark = df.sparkSession
+    lean(spark)
     path = shared_folder(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

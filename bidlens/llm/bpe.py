@@ -28,6 +28,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .batches import lean
+
 KNOWN_WORDS = 400_000
 #: The split pattern of byte-level vocabularies (a fixed value), and the same for texts without ODD characters.
 SPLIT = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
@@ -183,6 +185,7 @@ def vocabulary(path: str) -> Vocabulary:
 
 
 def _mapped(df: DataFrame, column: str, fields: list[tuple[str, T.DataType]], make) -> DataFrame:
+    lean(df.sparkSession)
     names = {n.lower() for n, _ in fields}
     keep = [f for f in df.schema.fields if f.name.lower() not in names or f.name.lower() == column.lower()]
     source = next(f.name for f in df.schema.fields if f.name.lower() == column.lower())

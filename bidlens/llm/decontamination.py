@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .batches import SPACE, chunks, column_bytes
+from .batches import SPACE, chunks, column_bytes, lean
 from .toxicity import lowered
 
 Q = 10
@@ -158,6 +158,7 @@ class Items:
 
 def slices(benchmark: DataFrame, rate: float, least: int) -> Iterator[Items]:
     """The benchmark's items, at most about SLICE_BYTES of text at a time."""
+    lean(benchmark.sparkSession)
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null and item_id is not null")
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n = -(-size // SLICE_BYTES)

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .batches import chunks, column_bytes, with_columns
+from .batches import chunks, column_bytes, lean, with_columns
 
 BITS = 17
 SLOTS = 1 << BITS
@@ -199,6 +199,7 @@ def fitted(rows: list[tuple[str, np.ndarray, np.ndarray]], idf: np.ndarray, epoc
 
 def train(docs: DataFrame, sample_per_language: int = 500) -> Model | None:
     """A model learnt from ``docs`` (doc_id, text, lang)."""
+    lean(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where(learnable())
     share = docs.where("text is not null").groupBy("lang").count().select("lang", (F.lit(float(sample_per_language)) / F.col("count")).alias("share"))
     share = F.broadcast(share.orderBy(F.desc("share"), "lang").limit(1000))  # at most 1000 languages

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .batches import LOWER, chunks, column_bytes, prefix_sums, substring_hashes, with_columns, words
+from .batches import LOWER, chunks, column_bytes, lean, prefix_sums, substring_hashes, with_columns, words
 from .language_id import summed
 
 #: Words that insult, as a fixed starting lexicon.
@@ -259,6 +259,7 @@ def slots(h: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 def train(docs: DataFrame, labels: DataFrame, sample_toxic: int = 2000, sample_other: int = 4000, sample_unlabelled: int = 1000) -> np.ndarray:
     """Weights of the classifier, learnt from ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic)."""
+    lean(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     labels = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("toxic in (0, 1) and doc_id is not null").where(trainable())
     labels = labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
