@@ -169,3 +169,27 @@ def paragraphs(docs: DataFrame) -> DataFrame:
     """doc_id, para_no, paragraph: runs between blank lines, with text."""
     parts = F.filter(F.split("content", r"\n\s*\n"), lambda p: text.utrim(p) != "")
     return docs.select("doc_id", F.posexplode(parts).alias("para_no", "paragraph"))
+
+
+def sections(docs: DataFrame) -> DataFrame:
+    """doc_id, line_no (of the heading), title, content: a heading's own lines, without those of headings below it."""
+    marks = headings(docs).select("doc_id", F.col("line_no").alias("heading_no"), "title", "start")
+    body = asof_last(lines(docs), marks, "doc_id", "start", "start", "heading_no").where(F.col("heading_no").isNotNull() & (F.col("line_no") > F.col("heading_no")))
+    text_ = body.groupBy("doc_id", F.col("heading_no").alias("line_no")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n").alias("content"))
+    return marks.select("doc_id", F.col("heading_no").alias("line_no"), "title").join(text_, ["doc_id", "line_no"], "left").withColumn("content", F.coalesce("content", F.lit("")))
+
+
+def reference_paragraph(content: Column, start: Column, end: Column, most: int = 500) -> Column:
+    """The paragraph (between blank lines) around a place, at most ``most`` characters to either side."""
+    before = F.element_at(F.split(F.substring(content, F.lit(1), start.cast("int")), r"\n\s*\n"), -1)
+    after = F.element_at(F.split(F.substring(content, (end + 1).cast("int"), F.length(content)), r"\n\s*\n"), 1)
+    inside = F.substring(content, (start + 1).cast("int"), (end - start).cast("int"))
+    left = F.when(F.length(before) > most, F.substring(before, (F.length(before) - most + 1).cast("int"), F.lit(most))).otherwise(before)
+    return text.utrim(F.concat(left, inside, F.substring(after, F.lit(1), F.lit(most))))
+
+
+def clean_paragraph(paragraph: Column, least: int = 10) -> Column:
+    """Without table rows and rules, in single spaces; the paragraph itself where too little is left."""
+    kept = F.filter(F.split(paragraph, "\n"), lambda x: (text.utrim(x) != "") & ~text.utrim(x).startswith("|") & ~text.utrim(x).rlike(r"^[-=_*|\s:]+$"))
+    joined = text.utrim(F.regexp_replace(F.array_join(kept, " "), r"(?U)\s+", " "))
+    return F.when(F.length(joined) >= least, joined).otherwise(paragraph)

@@ -174,6 +174,19 @@ def section_asof(spark, d):
     return structure.asof_last(rows, marks, "doc_id", "at", "start", "section").select("doc_id", "line_no", "section")
 
 
+@query(f"""WITH {K}, {_H}, t AS (SELECT doc_id, line_no, line, max(CASE WHEN line LIKE '#%' THEN line_no END) OVER (PARTITION BY doc_id ORDER BY line_no) AS h FROM l),
+b AS (SELECT doc_id, h, string_agg(line, chr(10) ORDER BY line_no) AS content FROM t WHERE line_no > h GROUP BY doc_id, h)
+SELECT t.doc_id, CAST(t.line_no AS INT) AS line_no, trim(regexp_replace(t.line, '^#+ +', '')) AS title, coalesce(b.content, '') AS content FROM t LEFT JOIN b ON b.doc_id = t.doc_id AND b.h = t.line_no WHERE t.line LIKE '#%'""")
+def sections(spark, d):
+    return structure.sections(corpus(spark, d))
+
+
+@query(f"""WITH {K} SELECT doc_id, trim(list_filter(string_split_regex(content, '\n[ \t\r\n]*\n'), lambda p: contains(p, '联系电话'))[1], ' ' || chr(10)) AS paragraph FROM c""")
+def reference_paragraph(spark, d):
+    spans = _spans(spark, d, "contact_info").where("pattern = '标注手机号'").select("doc_id", "start", "end")
+    return spans.join(corpus(spark, d), "doc_id").select("doc_id", structure.reference_paragraph(F.col("content"), F.col("start"), F.col("end")).alias("paragraph"))
+
+
 @query("""SELECT doc_id, CAST(len(string_split(text, chr(10))) AS INT) AS total_lines, CAST(0 AS INT) AS chinese_chars, list_sum(list_transform(string_split(text, chr(10)), lambda x: length(x))) / len(string_split(text, chr(10))) AS avg_line_length,
 CAST(len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')) AS INT) AS non_empty_lines FROM documents""")
 def content_stats(spark, d):

@@ -48,7 +48,7 @@ def documents(spark: SparkSession, path: str, pattern: str = "*", readers: dict[
         raw = raw.where(F.col("suffix").isin(*sorted(known)))
     name = F.regexp_extract("path", r"([^/]+)$", 1)
     plain = F.col("suffix").isin(*TEXT, *MARKDOWN)
-    texts = raw.where(plain).select(name.alias("doc_id"), name.alias("filename"), F.when(F.col("suffix").isin(*MARKDOWN), "md").otherwise(F.col("suffix")).alias("original_format"), F.decode("content", F.lit("UTF-8")).alias("content"), F.lit(1).alias("total_pages"), F.col("length").alias("file_size"), F.lit(None).cast("string").alias("error"))
+    texts = raw.where(plain).select(name.alias("doc_id"), name.alias("filename"), F.when(F.col("suffix").isin(*MARKDOWN), "md").otherwise(F.col("suffix")).alias("original_format"), F.decode("content", "UTF-8").alias("content"), F.lit(1).alias("total_pages"), F.col("length").alias("file_size"), F.lit(None).cast("string").alias("error"))
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
