@@ -13,10 +13,12 @@ The product A x A' is never formed as a whole:
 3. The kept incidence is cut into blocks by n-gram. Each block's product accumulates overlap
    counts per pair of nodes; counts of all blocks are summed, and a pair whose count plus all
    it could still share stays below the overlap that its two sizes need is discarded.
-   For frequent n-grams a block does not form all pairs: it links members to a pivot, and
-   later rounds take up what is not yet in one component.
+   For frequent n-grams a block does not form all pairs: it links members to a pivot only.
 4. Remaining pairs are verified on the whole sets, first one per node, then those whose ends
    are still in different components; a pair inside a component can change nothing.
+5. Nodes that keep frequent n-grams and are tied together by them, but lie in more than one
+   component, go through a product in blocks of ``SIDE`` x ``SIDE`` nodes; its pairs of different
+   components that reach the needed overlap are verified too.
 
 Results: a row per input row; ``component_id`` is the smallest doc_id reachable by links.
 Null texts and empty texts: n_shingles 0, own doc_id. Null doc_ids take part and are
@@ -25,6 +27,7 @@ ignored as names (a component of null ids only has a null component_id). Repeate
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,18 +35,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .batches import LOWER, chunks, column_bytes, mix, prefix_sums, remove, substring_hashes, words, written
+from .batches import LOWER, chunks, column_bytes, mix, prefix_sums, remove, small_batches, substring_hashes, words, written
 
-#: Slots of the counting sketch (2 bytes each, whatever the input's size).
-SKETCH_BITS = 21
+#: The counting sketch has so many slots (as a power of two) that each counts about SLOT_LOAD n-grams, within these limits.
+SKETCH_BITS, SLOT_LOAD = (18, 25), 10
 #: Kept n-grams in one block of the product.
 BLOCK_ENTRIES = 1_000_000
 #: An n-gram counts as frequent from this many times the sketch's mean, plus FREQUENT.
-FREQUENT_MEANS, FREQUENT = 3, 64
-#: Rounds that link to pivots only; the round after these forms every pair left.
-PIVOT_ROUNDS = 3
-#: Pairs of different components that a frequent n-gram may form at once before it goes to another pivot round.
-CROSS_PAIRS = 20_000
+FREQUENT_MEANS, FREQUENT = 1.5, 24
+#: Nodes and bytes of n-grams on each side of a block of the product over frequent n-grams, and n-grams in one step of it.
+SIDE, SIDE_BYTES, STEP = 2048, 16 << 20, 2048
 
 _K = [np.uint64(x) for x in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
 
@@ -88,69 +89,91 @@ def kept(n: np.ndarray | int):
     return n - (4 * n + 4) // 5 + 1
 
 
-def needed(n: np.ndarray, m: np.ndarray) -> np.ndarray:
-    """Kept n-grams that two linked sets of sizes n and m share at least."""
-    return np.maximum(1, (4 * (n + m) + 8) // 9 - np.minimum(n - kept(n), m - kept(m)))
+def compared(n: np.ndarray | int):
+    """How many first n-grams the product over frequent ones compares: three in five."""
+    return (3 * n + 4) // 5
 
 
-def described(docs: DataFrame) -> DataFrame:
-    """kind 0: doc_id, n and signature of each document; kind 1: each task's sketch of n-gram counts."""
+def needed(n: np.ndarray, m: np.ndarray, first=kept) -> np.ndarray:
+    """What linked sets of sizes n and m share at least of their first n-grams.
+
+    They share 4/9 of n + m. Of the set whose first part ends earlier in the order, what it shares
+    later is no more than its rest; which one that is isn't known, so the larger rest counts.
+    """
+    return np.maximum(1, (4 * (n + m) + 8) // 9 - np.maximum(n - first(n), m - first(m)))
+
+
+def sketch_bits(docs: DataFrame) -> int:
+    """By the planner's estimate of the input's size: about 0.3 n-grams a stored byte."""
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return min(SKETCH_BITS[1], max(SKETCH_BITS[0], int(0.3 * size / SLOT_LOAD).bit_length()))
+
+
+def described(docs: DataFrame, bits: int) -> DataFrame:
+    """kind 0: doc_id, n and signature of each document; kind 1: each task's sketch of n-gram counts, compressed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << SKETCH_BITS, np.int64)
-        shift = np.uint64(64 - SKETCH_BITS)
+        counts = np.zeros(1 << bits, np.uint32)
+        shift = np.uint64(64 - bits)
         for batch in batches:
             ids, ns, sigs = batch.column(0), [], []
             for _, _, d, o in chunks(*column_bytes(batch.column(1))):
                 sets = shingle_sets(d, o)
                 ns += map(len, sets)
                 sigs += [signed(signature(x)) if len(x) else None for x in sets]
-                counts += np.bincount((np.concatenate(sets) >> shift).astype(np.int64), minlength=len(counts))
+                np.add.at(counts, (np.concatenate(sets) >> shift).astype(np.int64), 1)
             yield pa.RecordBatch.from_arrays([pa.array([0] * len(ns), pa.int32()), ids, pa.array(ns, pa.int64()), pa.array(sigs, pa.int64()), pa.nulls(len(ns), pa.binary())], names=names)
         if counts.any():
-            yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), pa.nulls(1, pa.int64()), pa.array([int(counts.sum())], pa.int64()), pa.nulls(1, pa.int64()), pa.array([np.minimum(counts, 65535).astype("<u2").tobytes()])], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), pa.nulls(1, pa.int64()), pa.array([int(counts.sum())], pa.int64()), pa.nulls(1, pa.int64()), pa.array([zlib.compress(counts.tobytes(), 1)])], names=names)
 
     names = ["kind", "doc_id", "n", "sig", "counts"]
     return docs.select("doc_id", "text").mapInArrow(run, "kind int, doc_id long, n long, sig long, counts binary")
 
 
-def summed_sketch(rows: DataFrame, tasks: int) -> np.ndarray:
-    """The tasks' sketches summed, by a tree of streaming sums that each hold one sketch."""
+def classes(counts: np.ndarray) -> np.ndarray:
+    """0 for n-grams that are not frequent, else 1 and up by the logarithm of the count."""
+    line = FREQUENT_MEANS * float(counts.mean()) + FREQUENT
+    out = np.zeros(len(counts), np.uint8)
+    often = np.flatnonzero(counts > line)
+    out[often] = 1 + np.log2(counts[often]).astype(np.uint8)
+    return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def sketch_classes(rows: DataFrame, tasks: int) -> bytes:
+    """The class of each slot, compressed: the tasks' sketches summed by a tree of streaming sums that each hold one sketch."""
+
+    def run(batches: Iterator[pa.RecordBatch], last: bool) -> Iterator[pa.RecordBatch]:
         total = None
         for batch in batches:
             for x in batch.column(0):
-                v = np.frombuffer(x.as_py(), "<u4" if len(x.as_py()) == 4 << SKETCH_BITS else "<u2").astype(np.int64)
-                total = v if total is None else total + v
+                v = np.frombuffer(zlib.decompress(x.as_buffer()), np.uint32)
+                total = v.copy() if total is None else np.where(total + v < total, np.uint32(2**32 - 1), total + v)
         if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([np.minimum(total, 2**32 - 1).astype("<u4").tobytes()])], names=["counts"])
+            yield pa.RecordBatch.from_arrays([pa.array([zlib.compress((classes(total) if last else total).tobytes(), 1)])], names=["counts"])
 
     rows = rows.select("counts")
     while True:
         tasks = max(1, -(-tasks // 32))
-        rows = rows.repartition(tasks).mapInArrow(run, "counts binary")
+        rows = rows.repartition(tasks).mapInArrow(lambda b, last=tasks == 1: run(b, last), "counts binary")
         if tasks == 1:
             break
     got = rows.collect()
-    return np.frombuffer(got[0][0], "<u4") if got else np.zeros(1 << SKETCH_BITS, np.uint32)
+    return bytes(got[0][0]) if got else b""
 
 
-def classes(counts: np.ndarray) -> np.ndarray:
-    """0 for n-grams that are not frequent, else 1 and up by the logarithm of the count."""
-    line = FREQUENT_MEANS * counts.mean() + FREQUENT
-    return np.where(counts > line, 1 + np.log2(np.maximum(counts, 1)).astype(np.uint8), 0).astype(np.uint8)
+def class_table(packed: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(packed), np.uint8) if packed else np.zeros(2, np.uint8)
 
 
-def incidence(docs: DataFrame, table, blocks: int, frequent_only: bool) -> DataFrame:
+def incidence(docs: DataFrame, table, blocks: int) -> DataFrame:
     """The kept incidence, packed: for a block its nodes (signature, size, kept frequent n-grams), entries a node and entries.
 
     A task sends a node once, however often its text is repeated.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cls = table.value
-        shift = np.uint64(64 - SKETCH_BITS)
+        cls = class_table(table.value)
+        shift = np.uint64(65 - len(cls).bit_length())
         seen: set[int] = set()
         held: list[tuple] = []
         entries = 0
@@ -184,11 +207,8 @@ def incidence(docs: DataFrame, table, blocks: int, frequent_only: bool) -> DataF
                     p = kept(len(x))
                     keys = np.partition(keys, p - 1)[:p] if p < len(keys) else keys
                     hot = int((keys >> np.uint64(56) > 0).sum())
-                    if frequent_only:
-                        keys = keys[keys >> np.uint64(56) > 0]
-                    if len(keys):
-                        held.append((s, len(x), hot, keys))
-                        entries += len(keys)
+                    held.append((s, len(x), hot, keys))
+                    entries += len(keys)
                 if entries > 500_000:
                     yield from flush()
                     entries = 0
@@ -224,61 +244,42 @@ def unpacked(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, ...]:
     return key[new], sig[new], n[new], hot[new]
 
 
-def block_pairs(key: np.ndarray, sig: np.ndarray, n: np.ndarray, hot: np.ndarray, comp, round_: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """Pairs of nodes that share an entry: (a, b, n_a, n_b, hot_a, hot_b, frequent entry?, left over?).
-
-    comp None: the first round. Else from a signature to its component, and only frequent entries count.
-    """
+def block_pairs(key: np.ndarray, sig: np.ndarray, n: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+    """Pairs of places whose nodes share an entry and fit by size: (i, j, is the entry frequent?)."""
     cut = np.flatnonzero(key[1:] != key[:-1]) + 1
     lows, highs = np.concatenate([[0], cut]), np.concatenate([cut, [len(key)]])
     frequent = key >> np.uint64(56) > 0
     size = highs - lows
     fits = lambda i, j: 5 * np.minimum(n[i], n[j]) >= 4 * np.maximum(n[i], n[j])
-    # Groups of equal size go through one product together.
-    for k in np.unique(size):
+    for k in np.unique(size):  # groups of equal size go through one product together
         if k < 2:
             continue
-        for hot_group in (False, True):
-            low = lows[(size == k) & (frequent[lows] == hot_group)]
-            if not len(low):
+        up, down = np.triu_indices(k, 1) if k <= 4096 else (None, None)
+        for often in (False, True):
+            low = lows[(size == k) & (frequent[lows] == often)]
+            if not often and up is None:  # a large group: a row of the product at a time
+                for a in low.tolist():
+                    for i in range(a, a + k - 1):
+                        j = np.arange(i + 1, a + k)
+                        j = j[fits(np.full(len(j), i), j)]
+                        yield np.full(len(j), i), j, False
                 continue
-            if hot_group and comp is None:
-                # A frequent entry: everyone with the member in the middle by size, and neighbours by size.
+            if often:
+                # everyone with the member in the middle by size, and neighbours by size
                 for a in low.tolist():
                     by = a + np.argsort(n[a : a + k], kind="stable")
                     for i, j in ((np.full(k, by[k // 2]), by), (by[:-1], by[1:])):
                         ok = fits(i, j) & (i != j)
-                        yield i[ok], j[ok], True, False
-                continue
-            if hot_group:
-                for a in low.tolist():
-                    c = comp[a : a + k]
-                    ids, per = np.unique(c, return_counts=True)
-                    if len(ids) < 2:
-                        continue
-                    cross = (k * k - int((per.astype(np.int64) ** 2).sum())) // 2
-                    if cross <= CROSS_PAIRS or round_ > PIVOT_ROUNDS:
-                        for i in range(a, a + k):  # a row of the product at a time
-                            j = np.arange(i + 1, a + k)
-                            j = j[(comp[j] != comp[i])]
-                            ok = fits(i, j)
-                            yield np.full(int(ok.sum()), i), j[ok], True, False
-                    else:
-                        i = np.full(k, a + int(mix(np.array([round_ * 1000003 + a], np.uint64))[0] % np.uint64(k)))
-                        j = np.arange(a, a + k)
-                        ok = fits(i, j) & (comp[i] != comp[j])
-                        yield i[ok], j[ok], True, True
+                        yield i[ok], j[ok], True
                 continue
             step = max(1, 200_000 // (k * k))
-            up, down = np.triu_indices(k, 1)
             for s in range(0, len(low), step):
-                i = (low[s : s + step, None] + up).ravel()
-                j = (low[s : s + step, None] + down).ravel()
+                i, j = (low[s : s + step, None] + up).ravel(), (low[s : s + step, None] + down).ravel()
                 ok = fits(i, j)
-                yield i[ok], j[ok], False, False
+                yield i[ok], j[ok], False
 
 
-PAIR = "a long, b long, na long, nb long, ha long, hb long, c long, f long, again long"
+PAIR = "a long, b long, na long, nb long, ha long, hb long, c long, f long"
 
 
 def pair_counts(blocks: DataFrame) -> DataFrame:
@@ -291,23 +292,23 @@ def pair_counts(blocks: DataFrame) -> DataFrame:
         held, size = [], 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            i, j, f, again = (np.concatenate(x) for x in zip(*held, strict=True))
+            i, j, f = (np.concatenate(x) for x in zip(*held, strict=True))
             swap = sig[i] > sig[j]
             i, j = np.where(swap, j, i), np.where(swap, i, j)
+            order = np.lexsort((sig[j], sig[i]))
+            i, j, f = i[order], j[order], f[order]
             a, b = sig[i], sig[j]
-            order = np.lexsort((b, a))
-            i, j, f, again, a, b = i[order], j[order], f[order], again[order], a[order], b[order]
             first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
+            hots = np.add.reduceat(f.astype(np.int64), first)
             total = np.diff(np.append(first, len(a)))
-            hots, agains = np.add.reduceat(f.astype(np.int64), first), np.maximum.reduceat(again.astype(np.int64), first)
             i, j = i[first], j[first]
-            cols = [sig[i].view(np.int64), sig[j].view(np.int64), n[i], n[j], hot[i], hot[j], total - hots, hots, agains]
+            cols = [sig[i].view(np.int64), sig[j].view(np.int64), n[i], n[j], hot[i], hot[j], total - hots, hots]
             yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in cols], names=[x.split()[0] for x in PAIR.split(", ")])
             held.clear()
 
-        for i, j, f, again in block_pairs(key, sig, n, hot, None, 0):
+        for i, j, f in block_pairs(key, sig, n):
             if len(i):
-                held.append((i, j, np.full(len(i), f), np.full(len(i), again)))
+                held.append((i, j, np.full(len(i), f)))
                 size += len(i)
                 if size > 1_000_000:
                     yield from flush()
@@ -318,43 +319,105 @@ def pair_counts(blocks: DataFrame) -> DataFrame:
     return blocks.mapInArrow(run, PAIR)
 
 
-def cross_counts(blocks: DataFrame, comps: DataFrame, round_: int, partitions: int) -> DataFrame:
-    """As pair_counts, for frequent entries and pairs of different components only."""
+def frequent_rows(docs: DataFrame, table) -> DataFrame:
+    """sig, n, first, ties, keys: nodes that keep frequent n-grams, with the first of these, all, and the n-grams to compare."""
 
-    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cls, seen = class_table(table.value), set()
+        shift = np.uint64(65 - len(cls).bit_length())
         for batch in batches:
-            key, sig, n, hot = _plain(batch)
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(sig.view(np.int64)), pa.array(n.astype(np.int64)), pa.array(hot.astype(np.int64))], names=["key", "sig", "n", "hot"])
+            out = []
+            for _, _, d, o in chunks(*column_bytes(batch.column(0))):
+                for x in shingle_sets(d, o):
+                    c = cls[x >> shift]
+                    if not c.any() or (s := signature(x)) in seen:
+                        continue
+                    seen.add(s)
+                    keys = np.sort((c.astype(np.uint64) << np.uint64(56)) | (x >> np.uint64(8)))
+                    ties = keys[: kept(len(x))]
+                    ties = ties[ties >> np.uint64(56) > 0]
+                    if len(ties):
+                        out.append((signed(s), len(x), signed(int(ties[0])), ties.tobytes(), keys[: compared(len(x))].tobytes()))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["sig", "n", "first", "ties", "keys"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [[np.asarray(c) for c in b.columns] for b in batches if b.num_rows]
-        if not parts:
-            return
-        key, sig, n, hot, comp = (np.concatenate(x) for x in zip(*parts, strict=True))
-        key, sig = key.view(np.uint64), sig.view(np.uint64)
-        order = np.lexsort((sig, key))
-        key, sig, n, hot, comp = key[order], sig[order], n[order], hot[order], comp[order]
-        for i, j, _, again in block_pairs(key, sig, n, hot, comp, round_):
-            if len(i):
-                swap = sig[i] > sig[j]
-                i, j = np.where(swap, j, i), np.where(swap, i, j)
-                cols = [sig[i].view(np.int64), sig[j].view(np.int64), n[i], n[j], hot[i], hot[j], np.zeros(len(i)), np.ones(len(i)), np.full(len(i), again)]
-                yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in cols], names=[x.split()[0] for x in PAIR.split(", ")])
+    return docs.select("text").mapInArrow(run, "sig long, n long, first long, ties binary, keys binary")
 
-    entries = blocks.mapInArrow(explode, "key long, sig long, n long, hot long").distinct()
-    entries = entries.join(comps, "sig", "left").select("key", "sig", "n", "hot", F.coalesce("comp", "sig").alias("comp"))
-    mixed = entries.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    return entries.join(mixed, "key").repartition(partitions, "key").mapInArrow(run, PAIR)
 
+def frequent_pairs(nodes: DataFrame, comps: DataFrame) -> DataFrame:
+    """a, b, weight: nodes of different components that share as many of their first n-grams as their sizes need.
 
-def _plain(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
-    parts: list[list[np.ndarray]] = [[], [], [], []]
-    for _, sig, n, hot, per, keys in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-        per = np.frombuffer(per, np.uint32)
-        parts[0].append(np.frombuffer(keys, np.uint64))
-        for i, (x, t) in enumerate(((sig, np.uint64), (n, np.uint32), (hot, np.uint32)), 1):
-            parts[i].append(np.repeat(np.frombuffer(x, t), per))
-    return tuple(np.concatenate(p) if p else np.zeros(0, np.uint64) for p in parts)
+    Nodes are tied together by frequent n-grams they share; such a group goes through the product in
+    blocks of SIDE nodes (or SIDE_BYTES) a side, so no task holds more than two sides. Groups inside
+    one component are left out.
+    """
+
+    def ties(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: set[tuple[int, int]] = set()
+        for batch in batches:
+            for x in batch.column(0):
+                k = np.frombuffer(x.as_buffer(), np.int64).tolist()
+                new = [(k[0], y) for y in k[1:] if (k[0], y) not in done]
+                if len(done) < 1_000_000:
+                    done.update(new)
+                if new:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*new, strict=True)], names=["a", "b"])
+
+    tied = components(nodes.select("ties").mapInArrow(ties, "a long, b long").distinct())
+    df = nodes.join(tied.withColumnsRenamed({"sig": "first", "comp": "label"}), "first", "left").join(comps, "sig", "left")
+    df = df.select(F.coalesce("label", "first").alias("label"), F.coalesce("comp", "sig").alias("comp"), "sig", "n", "keys")
+    df = written(df, "frequent")
+    groups = df.groupBy("label").agg(F.greatest(F.ceil(F.count(F.lit(1)) / SIDE), F.ceil(F.sum(F.octet_length("keys")) / SIDE_BYTES)).cast("int").alias("sides"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("label", "sides")
+    df = df.join(groups, "label").withColumn("own", F.pmod(F.xxhash64("sig"), F.col("sides")).cast("int"))
+    df = df.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("sides") - 1)))
+    df = df.select("label", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "sig", "n", "comp", "keys")
+
+    def product(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        own, sig, n, comp, keys = zip(*rows, strict=True)
+        own, sig, n, comp = (np.array(x, np.int64) for x in (own, sig, n, comp))
+        left, right = np.flatnonzero(own == own.min()), np.flatnonzero(own == own.max())
+        if len(np.unique(comp)) < 2:
+            return
+        flat = np.concatenate([np.frombuffer(k, np.uint64) for k in keys])
+        node = np.repeat(np.arange(len(keys)), [len(k) // 8 for k in keys])
+        column = np.unique(flat, return_inverse=True)[1]
+        place = np.zeros(len(keys), np.int64)
+        place[left] = np.arange(len(left))
+        shared = np.zeros((len(left), len(right)), np.float32)
+        for s in range(0, int(column.max()) + 1, STEP):
+            part = (column >= s) & (column < s + STEP)
+            sides = []
+            for side in (left, right):
+                member = np.full(len(keys), -1)
+                member[side] = np.arange(len(side))
+                use = part & (member[node] >= 0)
+                m = np.zeros((len(side), STEP), np.float32)
+                m[member[node[use]], column[use] - s] = 1
+                sides.append(m)
+            shared += sides[0] @ sides[1].T
+        nl, nr = n[left][:, None], n[right][None, :]
+        ok = (comp[left][:, None] != comp[right][None, :]) & (5 * np.minimum(nl, nr) >= 4 * np.maximum(nl, nr)) & (shared >= needed(nl, nr, compared))
+        if own.min() == own.max():
+            ok = np.triu(ok, 1)
+        i, j = np.nonzero(ok)
+        if len(i):
+            a, b = sig[left[i]], sig[right[j]]
+            ua, ub = a.view(np.uint64), b.view(np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.where(ua < ub, a, b)), pa.array(np.where(ua < ub, b, a)), pa.array(shared[i, j].astype(np.int64))], names=["a", "b", "weight"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, []
+        for batch in batches:
+            for label, i, j, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (label, i, j) != at:
+                    if held:
+                        yield from product(held)
+                    at, held = (label, i, j), []
+                held.append(tuple(row))
+        if held:
+            yield from product(held)
+
+    return df.repartition("label", "i", "j").sortWithinPartitions("label", "i", "j").mapInArrow(run, "a long, b long, weight long")
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -403,9 +466,11 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 ok.append(100 * shared >= 80 * (len(x) + len(y) - shared))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
+    # a row holds two whole sets, so few go into a batch
     one = pairs.select("a", "b").join(sets.select(F.col("sig").alias("a"), F.col("items").alias("x")), "a")
     two = one.join(sets.select(F.col("sig").alias("b"), F.col("items").alias("y")), "b").select("a", "b", "x", "y")
-    return two.mapInArrow(run, "a long, b long")
+    with small_batches(pairs.sparkSession, 100):
+        return written(two.mapInArrow(run, "a long, b long"), "verified")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -431,51 +496,50 @@ def components(edges: DataFrame) -> DataFrame:
     return labels.select(F.col("u").alias("sig"), F.col("l").alias("comp"))
 
 
+def linked(pairs: DataFrame, sets: DataFrame, edges: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """``edges`` with the links among ``pairs`` (a, b, weight), and the components.
+
+    The heaviest pair of each node is verified first; of the rest only pairs that are then still in
+    different components, since a link inside a component would change nothing.
+    """
+    pair = F.struct("weight", "a", "b")
+    best = pairs.select(F.explode(F.array("a", "b")).alias("u"), pair.alias("p")).groupBy("u").agg(F.max("p").alias("p")).select("p.a", "p.b").distinct()
+    best = written(best, "best")
+    found = verified(best, sets)
+    edges = written(edges.union(found), "links") if edges is not None else found
+    comps = components(edges)
+    rest = pairs.select("a", "b").join(best, ["a", "b"], "left_anti")
+    rest = rest.join(comps.withColumnsRenamed({"sig": "a", "comp": "ca"}), "a", "left").join(comps.withColumnsRenamed({"sig": "b", "comp": "cb"}), "b", "left")
+    rest = written(rest.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b"), "rest")
+    if rest.limit(1).count():
+        edges = written(edges.union(verified(rest, sets)), "links")
+        comps = components(edges)
+    return edges, comps
+
+
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of ``docs`` (doc_id, text; other columns are ignored)."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    known = written(described(docs), "sets")
+    known = written(described(docs, sketch_bits(docs)), "sets")
     rows = known.where("kind = 0")
     nodes = rows.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("first"), F.max("n").alias("n"))
     total, tasks = known.agg(F.coalesce(F.sum(F.expr("case when kind = 0 and n > 0 then n - floor((4 * n + 4) / 5) + 1 end")), F.lit(0)), F.count_if(F.col("kind") == 1)).first()
-    table = spark.sparkContext.broadcast(classes(summed_sketch(known.where("kind = 1"), tasks)))
+    table = spark.sparkContext.broadcast(sketch_classes(known.where("kind = 1"), tasks))
     blocks = max(1, -(-int(total) // BLOCK_ENTRIES), min(64, spark.sparkContext.defaultParallelism))
 
-    pairs = pair_counts(incidence(docs, table, blocks, False)).groupBy("a", "b").agg(*(F.max(x).alias(x) for x in ("na", "nb", "ha", "hb")), F.sum("c").alias("c"), F.sum("f").alias("f"))
-    need = F.expr("greatest(1, floor((4 * (na + nb) + 8) / 9) - least(floor((4 * na + 4) / 5) - 1, floor((4 * nb + 4) / 5) - 1))")
+    pairs = pair_counts(incidence(docs, table, blocks)).groupBy("a", "b").agg(*(F.max(x).alias(x) for x in ("na", "nb", "ha", "hb")), F.sum("c").alias("c"), F.sum("f").alias("f"))
+    need = F.expr("greatest(1, floor((4 * (na + nb) + 8) / 9) - greatest(floor((4 * na + 4) / 5) - 1, floor((4 * nb + 4) / 5) - 1))")
     pairs = written(pairs.where((F.col("c") + F.least("ha", "hb") >= need)).select("a", "b", "na", "nb", "c", "f"), "pairs")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
     sets = written(sets_of(docs, wanted), "whole").dropDuplicates(["sig"])
 
-    # one pair a node first: its best; then what is left between components
-    best = pairs.select(F.col("b").alias("u"), F.struct("c", "f", "a", "b").alias("p")).union(pairs.select("a", F.struct("c", "f", "a", "b"))).groupBy("u").agg(F.max("p").alias("p")).select("p.a", "p.b").distinct()
-    edges = written(verified(best, sets), "links")
-    comps = components(edges)
-    rest = pairs.join(best.withColumn("done", F.lit(True)), ["a", "b"], "left").where("done is null").select("a", "b")
-    rest = rest.join(comps.withColumnsRenamed({"sig": "a", "comp": "ca"}), "a", "left").join(comps.withColumnsRenamed({"sig": "b", "comp": "cb"}), "b", "left")
-    # a pair of one component counts as done: its link would change nothing
-    rest = written(rest.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b"), "rest")
-    if rest.limit(1).count():
-        edges = written(edges.union(verified(rest, sets)), "links")
-        comps = components(edges)
-    tried = pairs.select("a", "b", "c", F.when(F.col("c") >= 0, True).alias("done"))
-    # frequent n-grams: what their pivots have not yet joined
-    for round_ in range(1, PIVOT_ROUNDS + 2) if pairs.where("f > 0").limit(1).count() else ():
-        cross = cross_counts(incidence(docs, table, blocks, True), comps, round_, blocks)
-        cross = cross.groupBy("a", "b").agg(*(F.max(x).alias(x) for x in ("na", "nb", "ha", "hb")), F.sum("f").alias("f"), F.max("again").alias("again"))
-        cross = written(cross, "cross")
-        again = bool(cross.where("again = 1").limit(1).count())
-        met = cross.join(tried, ["a", "b"], "left").where("done is null")
-        bound = F.least("ha", "hb") if again else F.col("f")  # the count is whole only if the pair met at every shared entry
-        fresh = written(met.where(F.coalesce("c", F.lit(0)) + bound >= need).select("a", "b"), "fresh")
+    edges, comps = linked(pairs.select("a", "b", (F.col("c") * 1_000_000 + F.col("f")).alias("weight")), sets)
+    if pairs.where("f > 0").limit(1).count():
+        fresh = written(frequent_pairs(frequent_rows(docs, table).dropDuplicates(["sig"]), comps), "fresh")
         if fresh.limit(1).count():
             more = written(sets_of(docs, fresh.select(F.explode(F.array("a", "b")).alias("sig")).distinct()), "whole").dropDuplicates(["sig"])
-            edges = written(edges.union(verified(fresh, more)), "links")
-            comps = components(edges)
-            tried = tried.union(fresh.select("a", "b", F.lit(None).cast("long").alias("c"), F.lit(True).alias("done")))
-        if not again:
-            break
+            edges, comps = linked(fresh, more, edges)
     names = nodes.join(comps, "sig", "left").select("sig", "first", F.coalesce("comp", "sig").alias("comp"))
     least = names.groupBy("comp").agg(F.min("first").alias("component_id"))
     names = names.join(least, "comp").select("sig", "component_id")
