@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bidlens.functions import dates, money, text
-from bidlens.operators import consolidate, evaluation, evidence, extract, packages, people, privacy, review, route, rules, similar, structure
+from bidlens.operators import consolidate, evaluation, evidence, extract, keywords, packages, people, privacy, review, route, rules, similar, structure
 from bidlens.plans.corpus import CHECKED, CORPUS, corpus, facts, to_spark, view
 
 QUERIES: dict = {}
@@ -544,3 +544,16 @@ def model_roundtrip(spark, d):
     weak = consolidate.low_confidence(fields).select("doc_id", "field_name", F.col("ref").alias("chunk_text"), F.array("primary_value").alias("existing_values"))
     responses, _ = model_review.answered(model_review.requests(weak, "stub", "stub-1"), _stub)
     return model_review.merged(spans, fields, responses, "stub:stub-1").select("doc_id", "field_name", "value", "confidence", "source")
+
+
+@query(f"""WITH {K} SELECT doc_id, 'mail' AS field_name, '邮箱' AS keyword, CAST(instr(content, '邮箱') - 1 AS INT) AS "start",
+ regexp_extract(substr(content, greatest(instr(content, '邮箱') - 101, 0) + 1, least(instr(content, '邮箱') - 1, 100) + 101), '[：:]\\s*([^，。\\n]{{1,50}})', 1) AS value, 0.8 AS confidence FROM c""")
+def keyword_spans(spark, d):
+    return keywords.spans(corpus(spark, d), {"mail": ["邮箱"], "none": ["不存在"]})
+
+
+@query(f"""WITH {K}, p AS ({_PRIMARY}) SELECT count(*) AS total_fields, count(*) FILTER (field_name = 'bid_amount') AS high, count(*) FILTER (field_name NOT IN ('bid_amount', 'deposit')) AS medium, count(*) FILTER (field_name = 'deposit') AS low,
+ CAST(sum(n_candidates) AS BIGINT) AS total_values, round(avg(confidence), 6) AS avg_confidence, count(kind) AS conflicts_count FROM p""")
+def priority_stats(spark, d):
+    fields = consolidate.fields(_spans(spark, d, *_REPORT_FIELDS))
+    return keywords.stats(fields, {"high": ["bid_amount"], "low": ["deposit"]}).withColumn("avg_confidence", F.round("avg_confidence", 6))
