@@ -9,42 +9,39 @@ from bidlens.functions import text
 from bidlens.operators.structure import asof_last, headings
 
 
-def _find(body: Column, part: Column) -> Column:
-    """0-based place of a non-empty part, null where it does not occur."""
-    at = F.instr(body, part) if not isinstance(part, Column) else F.position(part, body)
-    return F.when((F.length(part) > 0) & (at > 0), at - 1)
-
-
-def offsets(content: Column, start: Column, end: Column, value: Column, normalized: Column, ref: Column) -> Column:
-    """struct(start, end) in code points; -1 where the value can't be found.
+def located(spans: DataFrame, docs: DataFrame) -> DataFrame:
+    """``spans`` with source_start, source_end, source_text, line_start, line_end, section_path.
 
-    Inside a match the value is looked for first; spans without place are looked for in the text,
-    by value, normalised value, then context.
+    Offsets are code points, -1 where the value can't be found. Inside a match the value is looked
+    for first; spans without a place are looked for in the text by value, normalised value, then context.
     """
-    inside = (start >= 0) & (start < end) & (end <= F.length(content))
-    window = F.substring(content, (start + 1).cast("int"), (end - start).cast("int"))
-    trimmed = [text.utrim(value), text.utrim(F.coalesce(normalized, F.lit("")))]
-    made = lambda a, n: F.struct(a.cast("int").alias("start"), (a + n).cast("int").alias("end"))
-    in_window = F.coalesce(*(F.when(_find(window, v).isNotNull(), made(start + _find(window, v), F.length(v))) for v in trimmed), made(start, end - start))
-    context = text.utrim(F.coalesce(ref, F.lit("")))
-    at_ref = _find(content, context)
-    in_ref = F.coalesce(*(F.when(_find(context, v).isNotNull(), made(at_ref + _find(context, v), F.length(v))) for v in trimmed), made(at_ref, F.length(context)))
-    anywhere = F.coalesce(*(F.when(_find(content, v).isNotNull(), made(_find(content, v), F.length(v))) for v in trimmed), F.when(at_ref.isNotNull(), in_ref), made(F.lit(-1), F.lit(0)))
-    return F.when(inside, in_window).otherwise(F.when(anywhere["start"] >= 0, anywhere).otherwise(F.struct(F.lit(-1).alias("start"), F.lit(-1).alias("end"))))
-
-
-def located(spans: DataFrame, docs: DataFrame) -> DataFrame:
-    """``spans`` with source_start, source_end, source_text, line_start, line_end, section_path."""
     df = spans.join(docs.select("doc_id", F.col("content").alias("_c")), "doc_id")
-    at = offsets(F.col("_c"), F.col("start"), F.col("end"), F.col("value"), F.col("normalized_value"), F.col("ref"))
-    df = df.withColumn("_at", at).withColumns({"source_start": F.col("_at.start"), "source_end": F.col("_at.end")})
+    df = df.withColumns({"_in": (F.col("start") >= 0) & (F.col("start") < F.col("end")) & (F.col("end") <= F.length("_c")), "_v": text.utrim(F.col("value")), "_w": text.utrim(F.coalesce("normalized_value", F.lit("")))})
+    df = df.withColumn("_body", F.when(F.col("_in"), F.substring("_c", F.col("start") + 1, F.col("end") - F.col("start"))).otherwise(F.col("_c")))
+    place = lambda part, body: F.when(F.length(part) > 0, F.position(part, body)).otherwise(F.lit(0))
+    df = df.withColumn("_pv", place("_v", "_body"))
+    df = df.withColumn("_pw", F.when(F.col("_pv") == 0, place("_w", "_body")).otherwise(F.lit(0)))
+    lost = ~F.col("_in") & (F.col("_pv") == 0) & (F.col("_pw") == 0)
+    df = df.withColumn("_ref", F.when(lost, text.utrim(F.coalesce("ref", F.lit("")))))
+    df = df.withColumn("_pr", F.when(lost, place("_ref", "_c")).otherwise(F.lit(0)))
+    df = df.withColumns({"_rv": F.when(F.col("_pr") > 0, place("_v", "_ref")).otherwise(F.lit(0)), "_rw": F.when(F.col("_pr") > 0, place("_w", "_ref")).otherwise(F.lit(0))})
+    base = F.when(F.col("_in"), F.col("start")).otherwise(F.lit(0))
+    in_ref = F.greatest("_rv", F.when(F.col("_rv") == 0, F.col("_rw")).otherwise(F.lit(0)))
+    at = (
+        F.when(F.col("_pv") > 0, base + F.col("_pv") - 1).when(F.col("_pw") > 0, base + F.col("_pw") - 1).when(F.col("_in"), F.col("start"))
+        .when((F.col("_pr") > 0) & (in_ref > 0), F.col("_pr") + in_ref - 2).when(F.col("_pr") > 0, F.col("_pr") - 1).otherwise(F.lit(-1))
+    )
+    size = (
+        F.when(F.col("_pv") > 0, F.length("_v")).when(F.col("_pw") > 0, F.length("_w")).when(F.col("_in"), F.col("end") - F.col("start"))
+        .when(F.col("_rv") > 0, F.length("_v")).when(F.col("_rw") > 0, F.length("_w")).when(F.col("_pr") > 0, F.length("_ref")).otherwise(F.lit(0))
+    )
+    df = df.withColumns({"source_start": at.cast("int"), "source_end": (at + size).cast("int")})
     some = F.col("source_start") >= 0
-    body = F.substring("_c", F.col("source_start") + 1, F.col("source_end") - F.col("source_start"))
     df = df.withColumns({
-        "source_text": F.when(some, text.utrim(body)),
+        "source_text": F.when(some, text.utrim(F.substring("_c", F.col("source_start") + 1, F.col("source_end") - F.col("source_start")))),
         "line_start": F.when(some, text.line_of(F.col("_c"), F.col("source_start"))),
         "line_end": F.when(some, text.line_of(F.col("_c"), F.col("source_end"))),
-    }).drop("_c", "_at")
+    }).drop("_c", "_in", "_v", "_w", "_body", "_pv", "_pw", "_ref", "_pr", "_rv", "_rw")
     none = F.array().cast("array<string>")
     placed = asof_last(df, headings(docs).withColumnRenamed("path", "section_path"), "doc_id", "source_start", "start", "section_path")
     return placed.withColumn("section_path", F.when(F.col("source_start") >= 0, F.coalesce("section_path", none)).otherwise(none))
