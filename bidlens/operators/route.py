@@ -27,7 +27,8 @@ def hits(chunks: DataFrame) -> DataFrame:
     """
     table = F.array(*(F.struct(F.lit(m).alias("module_id"), F.lit(i).alias("keyword_ord"), F.lit(k).alias("keyword"), F.lit(w).alias("weight")) for m, i, k, w in keyword_rows()))
     df = chunks.withColumn("_t", routed_text())
-    found = F.filter(F.transform(table, lambda k: F.struct(k.alias("k"), text.occurrences(F.col("_t"), k["keyword"]).alias("n"))), lambda x: x["n"] > 0)
+    there = F.filter(table, lambda k: F.contains(F.col("_t"), k["keyword"]))  # few are; only those are counted
+    found = F.transform(there, lambda k: F.struct(k.alias("k"), text.occurrences(F.col("_t"), k["keyword"]).alias("n")))
     return df.select("doc_id", "chunk_no", F.explode(found).alias("x")).select("doc_id", "chunk_no", "x.k.module_id", "x.k.keyword_ord", "x.k.keyword", "x.k.weight", "x.n")
 
 
