@@ -535,11 +535,11 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     sets = written(sets_of(docs, wanted), "whole").dropDuplicates(["sig"])
 
     edges, comps = linked(pairs.select("a", "b", (F.col("c") * 1_000_000 + F.col("f")).alias("weight")), sets)
-    if pairs.where("f > 0").limit(1).count():
-        fresh = written(frequent_pairs(frequent_rows(docs, table).dropDuplicates(["sig"]), comps), "fresh")
-        if fresh.limit(1).count():
-            more = written(sets_of(docs, fresh.select(F.explode(F.array("a", "b")).alias("sig")).distinct()), "whole").dropDuplicates(["sig"])
-            edges, comps = linked(fresh, more, edges)
+    # pairs that the steps above never formed can link, whatever became of those they formed, so this always runs
+    fresh = written(frequent_pairs(frequent_rows(docs, table).dropDuplicates(["sig"]), comps), "fresh")
+    if fresh.limit(1).count():
+        more = written(sets_of(docs, fresh.select(F.explode(F.array("a", "b")).alias("sig")).distinct()), "whole").dropDuplicates(["sig"])
+        edges, comps = linked(fresh, more, edges)
     names = nodes.join(comps, "sig", "left").select("sig", "first", F.coalesce("comp", "sig").alias("comp"))
     least = names.groupBy("comp").agg(F.min("first").alias("component_id"))
     names = names.join(least, "comp").select("sig", "component_id")

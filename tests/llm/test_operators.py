@@ -95,6 +95,16 @@ def test_join_of_subsets(spark):
     assert got == want and 20 < sum(i != c for i, (_, c) in want.items())
 
 
+def test_join_beyond_the_pairs_formed_first(spark):
+    """Two documents tied only by frequent n-grams, where every pair formed before the blocked product fails its bound."""
+    p = [f"p{i}" for i in range(104)]
+    rows = [(1, " ".join(p)), (2, " ".join(p + [f"b{i}" for i in range(20)]))]
+    rows += [(10 + k, " ".join(p[k % 8 : k % 8 + 97] + [f"x{k}_{i}" for i in range(17)])) for k in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.jaccard_components(docs).collect()}
+    assert got == {1: (100, 1), 2: (120, 1)} | {i: (110, i) for i, _ in rows[2:]}
+
+
 def test_join_of_odd_rows(spark, odd):
     got = ngram_join.jaccard_components(odd).collect()
     assert len(got) == len(ODD)
