@@ -4,8 +4,8 @@ A page becomes blocks of text, each with the path of tags from the root to its l
 ids included, inline tags left out). For each path the text length, the number of its nodes, and
 the punctuation are summed over the page; length per node and punctuation per node are smoothed
 over the blocks in page order, fused by their geometric mean, and paths above a threshold (a share
-of the length-weighted mean) are content. The content node is the deepest one that holds most of
-the content paths' text; the main text is every block in it that is not boilerplate.
+of the length-weighted mean) are content. The content node is the lowest one around all blocks of
+content paths; the main text is every block in it that is not boilerplate.
 
 Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, comments of readers
 and hidden parts are left out, by tag, role, class or id, and so are blocks that are nearly all
@@ -46,8 +46,10 @@ BOILER_NAME = re.compile(
 )
 BOILER_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar toolbar".split())
 PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？]")
-#: A path is content from this share of the length-weighted mean score; the content node holds this share of its text.
-SHARE, MOST = 0.35, 0.7
+#: Parts of a text that don't stand for the whole: the content node is around them.
+LONE = frozenset("p li blockquote pre td th tr tbody thead tfoot table ul ol dl dt dd h1 h2 h3".split())
+#: A path is content from this share of the length-weighted mean score.
+SHARE = 0.35
 LINKS = 0.6
 
 
@@ -201,25 +203,27 @@ def main_text(page: str | None) -> str:
     total = sum(length.values())
     line = SHARE * sum(score[p] * n for p, n in length.items()) / total if total else 0.0
     chosen = {p for p in length if score[p] >= line}
-    # the deepest node with most of the chosen text
-    below: dict[_Node, int] = defaultdict(int)
-    for p, (node, text, _) in zip(paths, live, strict=True):
+    # the lowest node around all chosen blocks
+    around: list[_Node] | None = None
+    for p, (node, _, _) in zip(paths, live, strict=True):
         if p in chosen:
+            up = []
             x = node
             while x is not None:
-                below[x] += len(text)
+                if not x.inline:
+                    up.append(x)
                 x = x.up
-    everything = max(below.values(), default=0)
-    holds, depth = None, -1
-    for node, n in below.items():
-        if n >= MOST * everything and not node.inline:
-            d, x = 0, node
-            while x is not None:
-                d, x = d + 1, x.up
-            if d > depth:
-                holds, depth = node, d
-    # a lone paragraph stands for the node around it, and anything inside an article for the article
-    while holds is not None and holds.tag in ("p", "li", "blockquote", "pre", "td", "h1", "h2", "h3") and holds.up is not None and holds.up.up is not None and holds.up.tag not in ("body", "html"):
+            up.reverse()
+            if around is None:
+                around = up
+            else:
+                n = 0
+                while n < min(len(around), len(up)) and around[n] is up[n]:
+                    n += 1
+                del around[n:]
+    holds = around[-1] if around else None
+    # a lone paragraph, list or row stands for the node around it, and anything inside an article for the article
+    while holds is not None and holds.tag in LONE and holds.up is not None and holds.up.up is not None and holds.up.tag not in ("body", "html"):
         holds = holds.up
     x = holds
     while x is not None:

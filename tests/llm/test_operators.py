@@ -223,6 +223,20 @@ def test_main_text():
     assert html_text.main_text("<article><p>a<p>b</article>") == "a\nb"
 
 
+def test_main_text_without_article():
+    """Nothing around the largest part of the main text is lost where no article or main element holds it."""
+    say = lambda what, n: " ".join(f"Sentence {i} of the {what}, with words enough." for i in range(n))
+    intro, items, closing = say("intro", 4), [say(f"item {i}", 10) for i in range(3)], say("closing", 4)
+    page = f"<body><nav><a href=x>Home</a></nav><div class=content><p>{intro}</p><ul>{''.join(f'<li>{x}</li>' for x in items)}</ul><p>{closing}</p></div><footer>foot</footer></body>"
+    assert html_text.main_text(page) == "\n".join([intro, *items, closing])
+    one, two = [say("first", 10)] * 3, [say("second", 10)]
+    page = "<body><div class=page>" + "".join(f"<div class=section>{''.join(f'<p>{x}</p>' for x in part)}</div>" for part in (one, two)) + "</div><footer>foot</footer></body>"
+    assert html_text.main_text(page) == "\n".join(one + two)
+    rows = [say("large row", 30), say("row", 5), say("last row", 5)]
+    page = f"<body><div><table>{''.join(f'<tr><td>{x}</td></tr>' for x in rows)}</table></div></body>"
+    assert html_text.main_text(page) == "\n".join(rows)
+
+
 def test_main_text_of_pages(spark):
     import html as h
 
