@@ -1,8 +1,9 @@
 """Licence scans by sentence rules, in DataFrame functions.
 
-A text is cut into sentences at line ends and after ``.``, ``!``, ``?`` or ``;`` before white space.
-Sentences are normalised (A-Z lower-cased, everything but a-z, 0-9 and points between digits becomes
-one space) and looked up among known licence sentences. What is known gives a sequence of
+A text is cut into pieces at line ends and after ``.``, ``!``, ``?`` or ``;`` before white space.
+Pieces are normalised (A-Z lower-cased, everything but a-z, 0-9 and points between digits becomes
+one space, so comment marks go too). A piece, or pieces on consecutive lines that no sentence end or
+blank line parts, are looked up among known licence sentences. What is known gives a sequence of
 identifiers; a licence rule is an ordered sequence of identifiers and matches where the sequence
 holds it without a gap (other sentences in between do not count). All rules that match are
 reported, but one that lies inside a longer match of the same licence adds nothing.
@@ -93,26 +94,30 @@ def known() -> dict[str, str]:
     return out
 
 
-def sentences(text: Column) -> Column:
-    cut = F.regexp_replace(F.coalesce(text, F.lit("")), r"([.!?;])[ \t\r\n]+", "$1\n")
-    return F.split(cut, "[\r\n]+")
-
-
-def normal(sentence: Column) -> Column:
-    s = F.regexp_replace(F.translate(sentence, UPPER, LOWERED), "[^a-z0-9.]+", " ")
-    return F.trim(F.regexp_replace(s, r"[. ]+( |$)", "$1"))
+def pieces(text: Column) -> Column:
+    """The text in normal form, cut into pieces: a line feed where a sentence, paragraph or comment block ends, a carriage return where only a line ends."""
+    s = F.regexp_replace(F.coalesce(text, F.lit("")), "\r\n", "\n")
+    s = F.regexp_replace(s, r"(?m)^[ \t]*[;!]+[ \t]+", "")  # comment marks that would end a sentence; others have no letters and go below
+    s = F.regexp_replace(s, r"([.!?;])[ \t\r\n]+", "$1\u0001")
+    s = F.regexp_replace(s, "[\r\n][^A-Za-z0-9]*[\r\n]", "\u0001")
+    s = F.translate(s, UPPER + "\r\n\u0001", LOWERED + "\r\r\n")
+    s = F.regexp_replace(s, "[^a-z0-9.\r\n]+", " ")
+    s = F.regexp_replace(s, "[. ]+([ \r\n]|$)", "$1")
+    s = F.regexp_replace(F.concat(F.lit("\n"), s, F.lit("\n")), "([\r\n]) +", "$1")
+    return F.regexp_replace(s, "\r*\n[\r\n]*", "\n")
 
 
 def scanned(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with sentence_ids and licences (columns of those names give way)."""
     table = known()
-    longest = max(map(len, table)) * 2 + 40
     pairs = F.create_map(*(F.lit(x) for kv in sorted(table.items()) for x in kv))
-    # sentences much longer than any known one can't be one: they are passed over before the costly forms
-    short = F.filter(sentences(F.col(text)), lambda s: (F.length(s) >= 8) & (F.length(s) <= longest))
-    # nearly all sentences lack the words that all known ones have one of
-    likely = F.filter(short, lambda s: s.rlike("(?i)licen|reserved|software|permi|redistribut|gnu|condition|creative|cc|copyright|waived|endorse|mozilla|warrant"))
-    names = F.filter(F.transform(likely, lambda s: F.element_at(pairs, normal(s))), lambda x: x.isNotNull())
+    # whole pieces whose words make a known sentence, also over line ends; the longest first where more begin at one place
+    longest = sorted(table, key=lambda s: (-len(s), s))
+    either = "[\r\n](" + "|".join(s.replace(".", "[.]").replace(" ", "[ \r]") for s in longest) + ")(?=[\r\n])"
+    # all known sentences have one of these words
+    likely = F.col(text).rlike("(?i)licen|reserved|software|permi|redistribut|gnu|condition|creative|cc|copyright|waived|endorse|mozilla|warrant")
+    found = F.transform(F.regexp_extract_all(pieces(F.col(text)), F.lit(either), F.lit(1)), lambda s: F.element_at(pairs, F.translate(s, "\r", " ")))
+    names = F.when(likely, found).otherwise(F.array().cast("array<string>"))
     drop = [c for c in docs.columns if c.lower() in ("sentence_ids", "licences") and c != text]
     df = docs.drop(*drop).withColumn("sentence_ids", names)
     joined = F.concat(F.lit(" "), F.array_join("sentence_ids", " "), F.lit(" "))
@@ -121,7 +126,10 @@ def scanned(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def oracle() -> str:
-    """DuckDB SQL for scanned(documents) as (doc_id, n_sentences, sentence_ids, licences)."""
+    """DuckDB SQL for scanned(documents) as (doc_id, n_sentences, sentence_ids, licences).
+
+    It looks up single pieces only, so it is the twin on texts without wrapped licence sentences.
+    """
     quote = lambda s: "'" + s.replace("'", "''") + "'"
     table = " UNION ALL ".join(f"SELECT {quote(k)} AS s, {quote(v)} AS id" for k, v in sorted(known().items()))
     rules = " UNION ALL ".join(f"SELECT {quote(n)} AS licence, {quote(' ' + ' '.join(ids) + ' ')} AS seq" for n, ids in RULES)

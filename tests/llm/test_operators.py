@@ -289,6 +289,40 @@ def test_licences(spark, odd):
     assert {len(r["licences"]) for r in licences.scanned(odd).collect()} == {0}
 
 
+def test_licences_in_wrapped_texts(spark):
+    import textwrap
+
+    text = lambda names, width: "\n\n".join(textwrap.fill(" ".join(licences.SENTENCES[n]), width) for n in names)
+    mit = text(["mit-grant", "mit-condition", "mit-warranty"], 76)
+    bsd = text(["bsd-redistribute", "bsd-source", "bsd-binary", "bsd-endorse"], 70)
+    header = 'Licensed under the Apache License, Version 2.0 (the "License");\nyou may not use this file except in compliance with the License.\nYou may obtain a copy of the License at\n\n    http://www.apache.org/licenses/LICENSE-2.0\n\n' + text(["apache-warranty"], 72)
+    marked = lambda t, mark: "\n".join((mark + line).rstrip() for line in t.split("\n"))
+    isc = text(["isc-grant"], 60)
+    texts = {
+        1: f"MIT License\n\nCopyright (c) 2020 Some One\n\n{mit}",
+        2: marked(mit, " * "),
+        3: marked(bsd, "# ").replace("\n", "\r\n"),
+        4: marked(header, "// "),
+        5: marked(isc, ";; "),
+        6: f"Copyright (c) 2020 Some One\n{isc}\nfollowed by more",
+        7: isc.replace("\n", "\n\n", 1),
+        8: "MIT License\nsome text without a full stop\nAll rights reserved",
+    }
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r["doc_id"]: (r["sentence_ids"], r["licences"]) for r in licences.scanned(df).collect()}
+    three = ["mit-grant", "mit-condition", "mit-warranty"]
+    assert got == {
+        1: (["mit-notice", *three], ["MIT"]),
+        2: (three, ["MIT"]),
+        3: (["bsd-redistribute", "bsd-source", "bsd-binary", "bsd-endorse"], ["BSD-2-Clause", "BSD-3-Clause"]),
+        4: (["apache-notice", "apache-compliance", "apache-copy", "apache-warranty"], ["Apache-2.0"]),
+        5: (["isc-grant"], ["ISC"]),
+        6: (["isc-grant"], ["ISC"]),
+        7: ([], []),
+        8: (["mit-notice", "all-rights"], ["All-Rights-Reserved", "MIT"]),
+    }
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
