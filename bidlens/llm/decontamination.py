@@ -8,16 +8,19 @@ the item) differ by k at most. So shared q-grams are counted per item in overlap
 diagonals, bands that reach the bound are kept, and each is verified by an alignment inside it.
 
 The items are sent to the workers in slices of at most ``SLICE_BYTES``; a larger benchmark takes
-more than one pass. Items shorter than ``least`` characters could occur by chance and are left
-out; where the bound is below 1 the item's budget is lowered until it is 1.
+more than one pass. Where the bound is below 1 the item's budget is lowered until it is 1. Items of
+Q characters or fewer are found without edits and at word bounds only: where a side of the item is a
+letter, digit or underscore, what stands next to it is none (scripts written without spaces have no
+bounds). ``least`` leaves out shorter items, by default none.
 
 Results: a row per (document row, item) found, with the fewest edits and where the part ends and
 begins, in characters of the normalised text. Null and empty texts and items find nothing; equal
-items are found each under its own id; repeated rows repeat their results.
+items are found each under its own id, those with a null id in ``clean`` only; repeated rows repeat their results.
 """
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +34,7 @@ from .toxicity import lowered
 
 Q = 10
 RATE = 0.08
-LEAST = 40
+LEAST = 1
 SLICE_BYTES = 4 << 20
 _BITS = 22
 
@@ -56,6 +59,74 @@ def grams(data: np.ndarray) -> np.ndarray:
     return (at(0) * np.uint64(0x9E3779B97F4A7C15)) ^ (at(Q - 8) * np.uint64(0xC2B2AE3D27D4EB4F))
 
 
+def _word(code: int) -> bool:
+    """Is the code point part of a word that has bounds? Not in Thai to Myanmar, Khmer, kana and ideographs."""
+    if 0x0E00 <= code < 0x10A0 or 0x1780 <= code < 0x1800 or 0x2E80 <= code < 0xA000 or 0xF900 <= code < 0xFB00 or code >= 0x20000:
+        return False
+    return code == 0x5F or unicodedata.category(chr(code))[0] in "LNM"
+
+
+def word_bytes(data: np.ndarray) -> np.ndarray:
+    """For each byte whether its character is part of a word."""
+    codes = np.frombuffer(data.tobytes().decode("utf-8", "surrogateescape").encode("utf-32-le", "surrogatepass"), np.uint32)
+    each, at = np.unique(codes, return_inverse=True)
+    escaped = (codes >= 0xDC80) & (codes < 0xDD00)
+    size = np.where((codes < 0x80) | escaped, 1, np.where(codes < 0x800, 2, np.where(codes < 0x10000, 3, 4)))
+    return np.repeat(np.array([_word(c) for c in each.tolist()], bool)[at], size)
+
+
+class Short:
+    """The items of Q bytes or fewer, by length."""
+
+    def __init__(self, items: list[tuple[int, bytes]]):
+        places: dict[int, dict[bytes, list[int]]] = {}
+        for k, (_, t) in enumerate(items):
+            if len(t) <= Q:
+                places.setdefault(len(t), {}).setdefault(t, []).append(k)
+        #: Length: both numbers of the items, and the places of each item by its numbers.
+        self.of: dict[int, tuple[list[np.ndarray], dict[tuple[int, int], list[int]]]] = {}
+        for size, by in places.items():
+            codes = self.packed(np.frombuffer(b"".join(by), np.uint8).reshape(-1, size))
+            self.of[size] = codes, dict(zip(zip(*(c.tolist() for c in codes), strict=True), by.values(), strict=True))
+
+    @staticmethod
+    def packed(rows: np.ndarray) -> list[np.ndarray]:
+        """Two numbers for the bytes of each row, at most 8 and the rest."""
+        out = []
+        for part in (rows[:, :8], rows[:, 8:]):
+            n = np.zeros(len(rows), np.uint64)
+            for i in range(part.shape[1]):
+                n = (n << np.uint64(8)) | part[:, i]
+            out.append(n)
+        return out
+
+    def hits(self, data: np.ndarray, offs: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(row, item, first end in the row) of items that stand in a row at word bounds."""
+        if not self.of or not len(data):
+            return
+        word = word_bytes(data)
+        for size, ((high, low), items) in self.of.items():
+            n = len(data) - size + 1
+            if n <= 0:
+                continue
+            a, b = self.packed(np.lib.stride_tricks.sliding_window_view(data, size))
+            start = np.flatnonzero(np.isin(a, high) & np.isin(b, low))
+            row = np.searchsorted(offs, start, "right") - 1
+            end = start + size
+            ok = end <= offs[row + 1]
+            ok &= (start == offs[row]) | ~word[start] | ~word[np.maximum(start, 1) - 1]
+            ok &= (end == offs[row + 1]) | ~word[end - 1] | ~word[np.minimum(end, len(data) - 1)]
+            start, row = start[ok], row[ok]
+            seen: set[tuple[int, tuple[int, int]]] = set()
+            for r, s, *code in zip(row.tolist(), start.tolist(), a[start].tolist(), b[start].tolist(), strict=True):
+                key = (r, tuple(code))
+                if key in seen:
+                    continue
+                seen.add(key)
+                for k in items.get(key[1], ()):
+                    yield r, k, s + size - int(offs[r])
+
+
 class Items:
     """The q-grams of the items, and for each item its length, edit budget and least count."""
 
@@ -64,6 +135,7 @@ class Items:
         self.texts = [np.frombuffer(t, np.uint8) for _, t in items]
         size = np.array([len(t) for t in self.texts], np.int64)
         self.size = size
+        # items of Q bytes or fewer have no q-gram to count; they are looked up in self.short
         self.edits = np.maximum(0, np.minimum(np.floor(rate * size).astype(np.int64), (size - Q) // Q))
         self.least = np.maximum(1, size - Q + 1 - self.edits * Q)
         keys = [grams(t) for t in self.texts]
@@ -77,6 +149,7 @@ class Items:
         self.maybe = np.zeros(1 << _BITS, bool)
         self.maybe[(self.keys >> np.uint64(64 - _BITS)).astype(np.int64)] = True
         self.step = int(self.edits.max(initial=0)) + 1
+        self.short = Short(items)
 
     def candidates(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(row, item, first diagonal in the row) of bands that hold enough shared q-grams."""
@@ -146,6 +219,8 @@ class Items:
         out: dict[tuple[int, int], tuple[int, int]] = {}
         for start, _, d, o in chunks(*column_bytes(column)):
             d, o = normalised(d, o)
+            for r, i, end in self.short.hits(d, o):
+                out[r + start, i] = (0, end)
             row, item, diagonal = self.candidates(d, o)
             for a in range(0, len(row), 256):
                 part = slice(a, a + 256)
@@ -156,18 +231,21 @@ class Items:
         return out
 
 
-def slices(benchmark: DataFrame, rate: float, least: int) -> Iterator[Items]:
-    """The benchmark's items, at most about SLICE_BYTES of text at a time."""
+def slices(benchmark: DataFrame, rate: float, least: int, nameless: bool = False) -> Iterator[Items]:
+    """The benchmark's items, at most about SLICE_BYTES of text at a time; ``nameless`` keeps those with a null id."""
     lean(benchmark.sparkSession)
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null and item_id is not null")
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
+    if not nameless:
+        items = items.where("item_id is not null")
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n = -(-size // SLICE_BYTES)
     for part in range(n):
         plain = []
-        for i, t in sorted((r["item_id"], r["text"]) for r in items.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == part).distinct().collect()):
+        rows = ((r["item_id"], r["text"]) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == part).distinct().collect())
+        for i, t in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1])):
             raw = np.frombuffer(t.strip().encode(), np.uint8)
             norm = normalised(raw, np.array([0, len(raw)]))[0].tobytes()
-            if len(norm) >= max(least, Q + 1):
+            if len(norm) >= max(least, 1):
                 plain.append((i, norm))
         if plain:
             yield Items(plain, rate)
@@ -199,7 +277,7 @@ def found(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, least: int
 def clean(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, least: int = LEAST) -> DataFrame:
     """The rows of ``docs`` in which no item is found, all columns."""
     text = next(f.name for f in docs.schema.fields if f.name.lower() == "text")
-    for items in slices(benchmark, rate, least):
+    for items in slices(benchmark, rate, least, nameless=True):
         shared = docs.sparkSession.sparkContext.broadcast(items)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:

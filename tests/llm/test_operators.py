@@ -213,6 +213,21 @@ def test_decontamination(spark, odd):
     assert decontamination.found(odd, b).count() == 0 and decontamination.clean(odd, b.limit(0)).count() == len(ODD)
 
 
+def test_decontamination_of_short_items(spark):
+    items = [(1, "Paris"), (2, "no"), (3, "What is the capital of it?"), (4, "北京市"), (5, "exactly11ch"), (6, "ten letter"), (7, "no"), (8, "...")]
+    nameless = (None, "a question without an id of forty letters or so, and more")
+    docs = [
+        (1, "In (PARIS), they say: “No”."), (2, "comparisons, now nobody_no"), (3, "q: what is  the capital of\nit? none"), (4, "在北京市里"),
+        (5, "xexactly11chx"), (6, "often letters, ten letter"), (7, f"so {nameless[1]}."), (8, "what is the kapital of it?"), (9, None), (10, ""), (11, "é no"), (12, "éno noé"),
+    ]
+    b = spark.createDataFrame([*items, nameless], "item_id long, text string")
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): (r["edits"], r["end_char"]) for r in decontamination.found(d, b).collect()}
+    assert got.keys() == {(1, 1), (1, 2), (1, 7), (3, 3), (4, 4), (5, 5), (6, 6), (8, 3), (11, 2), (11, 7)}
+    assert got[1, 1] == (0, 9) and got[3, 3][0] == 0 and got[8, 3][0] == 1
+    assert {r["doc_id"] for r in decontamination.clean(d, b).collect()} == {2, 9, 10, 12}
+
+
 def test_main_text():
     page = """<html><head><title>T</title><style>x{}</style></head><body><header><h1>Site</h1></header><div id="cookie-notice">We use cookies, always. Really.</div>
     <div class="wrap"><div class="sidebar"><p>Side text, long enough, with points. Yes.</p></div><div class="content"><h2>Title &eacute;</h2><p>First para, with
