@@ -129,10 +129,25 @@ def signatures(docs: DataFrame, key: str, content: str, permutations: int = 128,
     return docs.select(key, content).mapInPandas(run, f"{key} {kind}, signature array<bigint>")
 
 
-def minhash_candidates(docs: DataFrame, key: str, content: str, bands: int = 16, rows: int = 8) -> DataFrame:
-    """a, b: each text of a band's bucket with the bucket's smallest key, so a bucket of any size gives one pair a text."""
-    signed = signatures(docs, key, content, bands * rows)
+def bands_for(threshold: float, permutations: int) -> tuple[int, int]:
+    """Bands and rows a band with the smallest sum of wrong candidates below the threshold and missed ones above it, over even similarities."""
+
+    def wrong(bands: int, rows: int) -> float:
+        chance = [(x, 1 - (1 - x**rows) ** bands) for x in ((i + 0.5) / 1000 for i in range(1000))]
+        return sum(p if x < threshold else 1 - p for x, p in chance)
+
+    return min(((b, r) for b in range(1, permutations + 1) for r in range(1, permutations // b + 1)), key=lambda x: (wrong(*x), x))
+
+
+def minhash_candidates(docs: DataFrame, key: str, content: str, threshold: float = 0.5, permutations: int = 128) -> DataFrame:
+    """band, bucket, a, b: each text b of each bucket that holds more than one, with the bucket's smallest key a.
+
+    Candidate pairs are any two members of a (band, bucket): all of them are given, as rows that grow with the texts and
+    not with the square of a bucket. The texts themselves (a = b) are members too.
+    """
+    bands, rows = bands_for(threshold, permutations)
+    signed = signatures(docs, key, content, permutations)
     band = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.struct(i.alias("band"), F.xxhash64(F.slice("signature", i * rows + 1, rows)).alias("bucket")))
     buckets = signed.select(F.col(key).alias("b"), F.explode(band).alias("x")).select("b", "x.band", "x.bucket")
-    first = buckets.groupBy("band", "bucket").agg(F.min("b").alias("a"))
-    return buckets.join(first, ["band", "bucket"]).where("a <> b").select("a", "b").distinct()
+    first = buckets.groupBy("band", "bucket").agg(F.min("b").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    return buckets.join(first, ["band", "bucket"]).select("band", "bucket", "a", "b")

@@ -155,3 +155,35 @@ def test_chunking(spark):
     docs = spark.createDataFrame([(1, "# A\n\ntext one\n\n## B\n\ntext two\n"), (2, "")], "doc_id long, content string")
     got = structure.chunks(docs).collect()
     assert [(r["content"], r["chapter_path"]) for r in got] == [("text one", ["A"]), ("text two", ["A", "B"])]
+
+
+def test_minhash_candidates_against_brute_force(spark):
+    """Recall over all pairs at Jaccard 0.5 and more, and pairs whose bucket has a smaller key."""
+    import itertools
+    import random
+
+    assert similar.bands_for(0.5, 128) == (25, 5)
+    rng = random.Random(4)
+    texts = []
+    for _ in range(40):
+        base = [rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(300)]
+        for edits in (0, 0, 5, 12, 20, 30):
+            t = list(base)
+            for _ in range(edits):
+                t[rng.randrange(300)] = rng.choice("0123456789")
+            texts.append("".join(t))
+    rng.shuffle(texts)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    buckets = {}
+    for r in similar.minhash_candidates(df, "doc_id", "text").collect():
+        buckets.setdefault((r["band"], r["bucket"]), []).append(r["b"])
+        assert r["a"] <= r["b"]
+    got = {p for b in buckets.values() for p in itertools.combinations(sorted(b), 2)}
+    sets = [{t[i : i + 3] for i in range(len(t) - 2)} for t in texts]
+    score = {(i, j): len(sets[i] & sets[j]) / len(sets[i] | sets[j]) for i, j in itertools.combinations(range(len(sets)), 2)}
+    recall = {}
+    for low, high in ((0.5, 0.6), (0.6, 0.7), (0.7, 0.8), (0.8, 1.1)):
+        pairs = {p for p, x in score.items() if low <= x < high}
+        recall[low] = len(pairs & got) / len(pairs)
+        print(low, len(pairs), round(recall[low], 3))
+    assert recall[0.5] > 0.6 and recall[0.6] > 0.85 and recall[0.7] > 0.95 and recall[0.8] > 0.99
