@@ -1,21 +1,26 @@
 """Benchmark decontamination by the q-gram lemma.
 
 Texts and benchmark items are lower-cased (A-Z and U+00C0..U+00DE) and runs of white space become
-one space; a character is a byte of the result. An item of length w is found in a text if it
-aligns with a part of it with at most k = floor(rate * w) edits. Such a part shares at least
-w - q + 1 - k * q q-grams with the item, and their diagonals (place in the text less place in
-the item) differ by k at most. So shared q-grams are counted per item in overlapping bands of
-diagonals, bands that reach the bound are kept, and each is verified by an alignment inside it.
+one space. Lengths, edits and places count bytes of the result in UTF-8, so an edit of a CJK
+character may cost three. An item of w bytes is found in a text if it aligns with a part of it
+with at most k = floor(rate * w) edits. Such a part shares at least w - q + 1 - k * q q-grams with
+the item, each at a place of its own in the text, and their diagonals (place in the text less place
+in the item) differ by k at most. So places with shared q-grams are counted per item in overlapping
+bands of k + 1 diagonals, bands that reach the bound are kept, and each is verified: an item that
+stands unchanged in the text needs no more, others are aligned inside the band.
 
 The items are sent to the workers in slices of at most ``SLICE_BYTES``; a larger benchmark takes
-more than one pass. Where the bound is below 1 the item's budget is lowered until it is 1. Items of
-Q characters or fewer are found without edits and at word bounds only: where a side of the item is a
-letter, digit or underscore, what stands next to it is none (scripts written without spaces have no
-bounds). ``least`` leaves out shorter items, by default none.
-
-Results: a row per (document row, item) found, with the fewest edits and where the part ends and
-begins, in characters of the normalised text. Null and empty texts and items find nothing; equal
-items are found each under its own id, those with a null id in ``clean`` only; repeated rows repeat their results.
+more than one pass. Where the bound is below 1 the item's budget is lowered until it is 1 (no edits
+below 2 * Q bytes). Items of Q bytes or fewer are found without edits and at word bounds only:
+where a side of the item is a letter, digit or underscore, what stands next to it is none (scripts
+written without spaces have no bounds). ``least`` leaves out shorter items, by default none.
+
+Results: a row per (document row, item) found, with the fewest edits and where the first such part
+ends in the normalised text (``end_byte``). Null and empty texts and items find nothing; equal items
+are found each under its own id, those with a null id in ``clean`` only; repeated rows repeat their
+results. Texts are used whole; one that repeats an item's q-grams over and over costs time in
+proportion to its length, not memory. Columns of the documents named item_id, edits or end_byte (any
+case) give way in ``found``; ``clean`` keeps all columns.
 """
 
 from __future__ import annotations
@@ -29,13 +34,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .batches import SPACE, chunks, column_bytes, lean
+from .batches import SPACE, chunks, column_bytes, lean, prefix_sums, substring_hashes
 from .toxicity import lowered
 
 Q = 10
 RATE = 0.08
 LEAST = 1
 SLICE_BYTES = 4 << 20
+#: Counts of a slice of shared q-grams, and cells of a batch of alignments: what a task holds at once of either.
+ENTRIES = 1 << 18
+CELLS = 1 << 16
 _BITS = 22
 
 
@@ -128,7 +136,11 @@ class Short:
 
 
 class Items:
-    """The q-grams of the items, and for each item its length, edit budget and least count."""
+    """The q-grams of the items, and for each item its length, edit budget and least count.
+
+    Places of one q-gram in an item are held as intervals inside cells of budget + 1 places, at
+    most about 20 for any item however often the q-gram stands in it.
+    """
 
     def __init__(self, items: list[tuple[int, bytes]], rate: float = RATE):
         self.ids = [i for i, _ in items]
@@ -138,23 +150,37 @@ class Items:
         # items of Q bytes or fewer have no q-gram to count; they are looked up in self.short
         self.edits = np.maximum(0, np.minimum(np.floor(rate * size).astype(np.int64), (size - Q) // Q))
         self.least = np.maximum(1, size - Q + 1 - self.edits * Q)
+        self.step = self.edits + 1
+        self.low = size + self.step  # added to a diagonal, it is positive
         keys = [grams(t) for t in self.texts]
         item = np.repeat(np.arange(len(items)), [len(k) for k in keys])
         place = np.concatenate([np.arange(len(k)) for k in keys]) if keys else np.zeros(0, np.int64)
         flat = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
-        order = np.argsort(flat, kind="stable")
-        self.keys, self.first = np.unique(flat[order], return_index=True)
-        self.end = np.append(self.first[1:], len(flat))
-        self.item, self.place = item[order], place[order]
+        cell = place // self.step[item]
+        order = np.lexsort((place, item, flat))
+        flat, item, place, cell = flat[order], item[order], place[order], cell[order]
+        new = np.ones(len(flat), bool)
+        new[1:] = (flat[1:] != flat[:-1]) | (item[1:] != item[:-1]) | (cell[1:] != cell[:-1])
+        at = np.flatnonzero(new)
+        flat, self.item, self.least_place = flat[at], item[at], place[at]
+        self.most_place = place[np.append(at[1:], len(new)) - 1] if len(at) else place
+        self.keys, self.first = np.unique(flat, return_index=True)
+        self.end = np.append(self.first[1:], len(flat)) if len(flat) else self.first
         self.maybe = np.zeros(1 << _BITS, bool)
         self.maybe[(self.keys >> np.uint64(64 - _BITS)).astype(np.int64)] = True
-        self.step = int(self.edits.max(initial=0)) + 1
         self.short = Short(items)
 
     def candidates(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(row, item, first diagonal in the row) of bands that hold enough shared q-grams."""
+        """(row, item, first diagonal in the row) of bands that hold enough shared q-grams.
+
+        A band counts places of the text that share a q-gram with the item on one of its diagonals.
+        Hits go through in slices of about ``ENTRIES`` counts; bands that the text has passed are
+        settled after each, so memory follows the slice and the bands still open.
+        """
         none = (np.zeros(0, np.int64),) * 3
         h = grams(data)
+        if not len(h) or not len(self.keys):
+            return none
         hit = np.flatnonzero(self.maybe[(h >> np.uint64(64 - _BITS)).astype(np.int64)])
         if not len(hit):
             return none
@@ -164,23 +190,44 @@ class Items:
         row = np.searchsorted(offs, hit, "right") - 1
         inside = hit + Q <= offs[row + 1]
         # a row with fewer shared q-grams than any item asks for
-        inside &= np.bincount(row[inside], minlength=len(offs))[row] >= self.least.min(initial=1)
+        inside &= np.bincount(row[inside], minlength=len(offs))[row] >= self.least[self.size > Q].min(initial=self.size.max(initial=1))
         hit, where, row = hit[inside], where[inside], row[inside]
         if not len(hit):
             return none
         per = self.end[where] - self.first[where]
-        entry = np.repeat(self.first[where] - np.concatenate([[0], np.cumsum(per)[:-1]]), per) + np.arange(per.sum())
-        row, item = np.repeat(row, per), self.item[entry]
-        diagonal = np.repeat(hit, per) - offs[row] - self.place[entry]
-        low = int(self.size.max(initial=0)) + self.step
-        band = (diagonal + low) // self.step  # band b holds steps b - 1 and b
-        bands = int(band.max()) + 2
-        code = (row * len(self.ids) + item) * bands + band
-        code, n = np.unique(np.concatenate([code, code + 1]), return_counts=True)
-        item = code // bands % len(self.ids)
-        ok = n >= self.least[item]
-        code, item = code[ok], item[ok]
-        return code // bands // len(self.ids), item, (code % bands - 1) * self.step - low
+        sums = np.cumsum(per)
+        bands = int((len(data) + self.low.max()) // self.step.min()) + 4
+        items = len(self.ids)
+        open_code, open_n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        kept: list[np.ndarray] = []
+        a = 0
+        while a < len(hit):
+            b = max(a + 1, int(np.searchsorted(sums, (sums[a - 1] if a else 0) + ENTRIES, "right")))
+            n = per[a:b]
+            entry = np.repeat(self.first[where[a:b]] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+            item = self.item[entry]
+            base = np.repeat(hit[a:b] - offs[row[a:b]], n) + self.low[item]
+            step = self.step[item]
+            one, two = (base - self.most_place[entry]) // step, (base - self.least_place[entry]) // step  # band b holds cells b - 1 and b
+            code = (np.repeat(row[a:b], n) * items + item) * bands
+            more = two > one
+            code, n = np.unique(np.concatenate([code + one, code + one + 1, code[more] + two[more] + 1]), return_counts=True)
+            if len(open_code):
+                code, at = np.unique(np.concatenate([open_code, code]), return_inverse=True)
+                n = np.bincount(at, np.concatenate([open_n, n])).astype(np.int64)
+            if b < len(hit):
+                # a band's last place in the row is its number times the item's step
+                item = code // bands % items
+                past = (code // bands // items < row[b]) | (code % bands * self.step[item] < hit[b] - offs[row[b]])
+            else:
+                past = np.ones(len(code), bool)
+            enough = past & (n >= self.least[code // bands % items])
+            kept.append(code[enough])
+            open_code, open_n = code[~past], n[~past]
+            a = b
+        code = np.concatenate(kept)
+        item = code // bands % items
+        return code // bands // items, item, (code % bands - 1) * self.step[item] - self.low[item]
 
     def align(self, data: np.ndarray, offs: np.ndarray, row: np.ndarray, item: np.ndarray, diagonal: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Fewest edits of each candidate's item inside its band of diagonals, and the end of that part in the row.
@@ -188,7 +235,7 @@ class Items:
         All candidates go through the rows of their alignments together.
         """
         edits = self.edits[item]
-        width = 2 * self.step + 2 * int(edits.max(initial=0)) + 1
+        width = 2 * int(self.step[item].max()) + 2 * int(edits.max(initial=0)) + 1
         low = diagonal - int(edits.max(initial=0))
         size, far = self.size[item], np.iinfo(np.int32).max // 2
         length = offs[row + 1] - offs[row]
@@ -196,7 +243,7 @@ class Items:
         text = np.zeros((len(item), int(size.max())), np.uint8)
         for c, i in enumerate(item.tolist()):
             text[c, : size[c]] = self.texts[i]
-        end = low[:, None] + steps  # where in the row the alignment of 0 characters ends
+        end = low[:, None] + steps  # where in the row the alignment of 0 bytes ends
         cost = np.where((end >= 0) & (end <= length[:, None]), 0, far)
         best, at = np.full(len(item), far), np.zeros(len(item), np.int64)
         for i in range(int(size.max())):
@@ -213,21 +260,72 @@ class Items:
                 best[done], at[done] = cost[done, k], end[done, k]
         return best, at
 
-
-    def hits(self, column: pa.Array) -> dict[tuple[int, int], tuple[int, int]]:
-        """(row, item) to (fewest edits, end) for what is found in a text column."""
+    def different(self, data: np.ndarray, offs: np.ndarray, row: np.ndarray, item: np.ndarray, diagonal: np.ndarray) -> np.ndarray:
+        """Places of the candidates less those whose part of the row is, byte for byte, that of an earlier one: it aligns alike, further on."""
+        if not len(row):
+            return np.zeros(0, np.int64)
+        start, end = diagonal - self.edits[item], diagonal + 2 * self.step[item] + self.edits[item] + self.size[item]
+        length = offs[row + 1] - offs[row]
+        sums = prefix_sums(data)
+        part = substring_hashes(sums, offs[row] + np.maximum(start, 0), offs[row] + np.minimum(end, length))
+        order = np.lexsort((diagonal, np.maximum(end - length, 0), np.minimum(start, 0), part, item, row))
+        keys = np.stack([row, item, np.minimum(start, 0), np.maximum(end - length, 0), part.astype(np.int64)])[:, order]
+        new = np.ones(len(order), bool)
+        new[1:] = (keys[:, 1:] != keys[:, :-1]).any(0)
+        return np.sort(order[new])
+
+    def verified(self, data: np.ndarray, offs: np.ndarray, any_item: bool) -> Iterator[tuple[int, int, int, int]]:
+        """(row, item, edits, end) of what is found among the candidates, more than one of a row and item at times.
+
+        A candidate's item that stands in its row unchanged is found without edits where it first
+        stands; the others are aligned. With ``any_item`` a row that has one item is not gone on with.
+        """
+        row, item, diagonal = self.candidates(data, offs)
+        settled = np.zeros(len(row), bool)
+        whole: tuple[int, bytes] = (-1, b"")
+        pairs, first = np.unique(row * len(self.ids) + item, return_index=True)
+        for pair, k in zip(pairs.tolist(), first.tolist(), strict=True):
+            r, i = divmod(pair, len(self.ids))
+            if settled[k]:
+                continue
+            if whole[0] != r:
+                whole = r, data[offs[r] : offs[r + 1]].tobytes()
+            at = whole[1].find(self.texts[i].tobytes())
+            if at >= 0:
+                yield r, i, 0, at + int(self.size[i])
+                a, b = np.searchsorted(row, [r, r + 1])
+                settled[a:b] |= True if any_item else item[a:b] == i
+        left = np.flatnonzero(~settled)
+        left = left[self.different(data, offs, row[left], item[left], diagonal[left])]
+        # candidates of like budgets go together, so that a long item doesn't widen the bands of short ones
+        left = left[np.argsort(self.step[item[left]], kind="stable")]
+        done: set[int] = set()
+        a = 0
+        while a < len(left):
+            most = max(1, CELLS // (4 * int(self.step[item[left[a]]]) + 1))
+            part = left[a : a + most]
+            part = part[self.step[item[part]] <= 2 * self.step[item[part[0]]]]
+            a += len(part)
+            if any_item and done:
+                part = part[~np.isin(row[part], list(done))]
+            if not len(part):
+                continue
+            best, at = self.align(data, offs, row[part], item[part], diagonal[part])
+            for k in np.flatnonzero(best <= self.edits[item[part]]).tolist():
+                yield int(row[part[k]]), int(item[part[k]]), int(best[k]), int(at[k])
+                if any_item:
+                    done.add(int(row[part[k]]))
+
+    def hits(self, column: pa.Array, any_item: bool = False) -> dict[tuple[int, int], tuple[int, int]]:
+        """(row, item) to (fewest edits, end) for what is found in a text column; with ``any_item`` at least one item of a row that has any."""
         out: dict[tuple[int, int], tuple[int, int]] = {}
         for start, _, d, o in chunks(*column_bytes(column)):
             d, o = normalised(d, o)
             for r, i, end in self.short.hits(d, o):
                 out[r + start, i] = (0, end)
-            row, item, diagonal = self.candidates(d, o)
-            for a in range(0, len(row), 256):
-                part = slice(a, a + 256)
-                best, at = self.align(d, o, row[part], item[part], diagonal[part])
-                for k in np.flatnonzero(best <= self.edits[item[part]]).tolist():
-                    key, value = (int(row[a + k]) + start, int(item[a + k])), (int(best[k]), int(at[k]))
-                    out[key] = min(out.get(key, value), value)
+            for r, i, edits, end in self.verified(d, o, any_item):
+                key, value = (r + start, i), (edits, end)
+                out[key] = min(out.get(key, value), value)
         return out
 
 
@@ -252,11 +350,11 @@ def slices(benchmark: DataFrame, rate: float, least: int, nameless: bool = False
 
 
 def found(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, least: int = LEAST) -> DataFrame:
-    """The columns of ``docs`` but its text, then item_id, edits and end_char: a row for each item found in a row."""
+    """The columns of ``docs`` but its text, then item_id, edits and end_byte: a row for each item found in a row."""
     spark = docs.sparkSession
     text = next(f.name for f in docs.schema.fields if f.name.lower() == "text")
-    keep = [f for f in docs.schema.fields if f.name != text and f.name.lower() not in ("item_id", "edits", "end_char")]
-    schema = T.StructType(keep + [T.StructField(n, T.LongType()) for n in ("item_id", "edits", "end_char")])
+    keep = [f for f in docs.schema.fields if f.name != text and f.name.lower() not in ("item_id", "edits", "end_byte")]
+    schema = T.StructType(keep + [T.StructField(n, T.LongType()) for n in ("item_id", "edits", "end_byte")])
     out = spark.createDataFrame([], schema)
     for items in slices(benchmark, rate, least):
         shared = spark.sparkContext.broadcast(items)
@@ -283,7 +381,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, least: int
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 keep = np.ones(batch.num_rows, bool)
-                keep[[r for r, _ in shared.value.hits(batch.column(batch.schema.get_field_index(text)))]] = False
+                keep[[r for r, _ in shared.value.hits(batch.column(batch.schema.get_field_index(text)), True)]] = False
                 yield batch.filter(pa.array(keep))
 
         docs = docs.mapInArrow(run, docs.schema)

@@ -77,7 +77,7 @@ def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, item_id, edits, end_char: the benchmark items found in documents."""
+    """doc_id, item_id, edits, end_byte: the benchmark items found in documents."""
     return decontamination.found(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
 
 

@@ -222,12 +222,42 @@ def test_decontamination_of_short_items(spark):
     ]
     b = spark.createDataFrame([*items, nameless], "item_id long, text string")
     d = spark.createDataFrame(docs, "doc_id long, text string")
-    got = {(r["doc_id"], r["item_id"]): (r["edits"], r["end_char"]) for r in decontamination.found(d, b).collect()}
+    got = {(r["doc_id"], r["item_id"]): (r["edits"], r["end_byte"]) for r in decontamination.found(d, b).collect()}
     assert got.keys() == {(1, 1), (1, 2), (1, 7), (3, 3), (4, 4), (5, 5), (6, 6), (8, 3), (11, 2), (11, 7)}
     assert got[1, 1] == (0, 9) and got[3, 3][0] == 0 and got[8, 3][0] == 1
     assert {r["doc_id"] for r in decontamination.clean(d, b).collect()} == {2, 9, 10, 12}
 
 
+def test_decontamination_of_repetitive_texts():
+    """A megabyte of one character, and items of the same: bounded memory, what brute force finds."""
+    import tracemalloc
+
+    run, period = b"=" * 300, b"- " * 150
+    broken = (b"=" * 99 + b"x") * 4
+    items = decontamination.Items([(1, run), (2, b"title " + run), (3, period), (4, b"-" * 1_000), (5, b"z" * 40)])
+    texts = ["=" * 1_000_000, "-=" * 2000, broken.decode() * 30, "- " * 100_000, "-" * 950, ("title " + "=" * 320) * 3, None]
+    items.hits(pa.array(["warm"]))
+    tracemalloc.start()
+    got = items.hits(pa.array(texts, pa.string()))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 300 << 20
+    # an x in each hundred costs an edit, 'title ' that is missing before a run six
+    assert got == {(0, 0): (0, 300), (0, 1): (6, 300), (2, 0): (3, 299), (2, 1): (9, 299), (3, 2): (0, 300), (4, 3): (50, 950), (5, 0): (0, 306), (5, 1): (0, 306)}
+    assert {r for r, _ in items.hits(pa.array(texts, pa.string()), True)} == {0, 2, 3, 4, 5}
+
+
+def test_decontamination_in_slices_of_hits(monkeypatch):
+    """Small slices of counts and alignments give what large ones give."""
+    rng = random.Random(9)
+    items = [(i, bytes(rng.choice(b"ab ") for _ in range(rng.randrange(11, 90)))) for i in range(20)]
+    texts = [bytes(rng.choice(b"ab ") for _ in range(rng.randrange(0, 400))).decode() for _ in range(10)] + ["".join(t.decode()[1:] for _, t in items)]
+    whole = decontamination.Items(items).hits(pa.array(texts))
+    monkeypatch.setattr(decontamination, "ENTRIES", 50)
+    monkeypatch.setattr(decontamination, "CELLS", 300)
+    assert decontamination.Items(items).hits(pa.array(texts)) == whole and len(whole) >= 5
+
+
 def test_main_text():
     page = """<html><head><title>T</title><style>x{}</style></head><body><header><h1>Site</h1></header><div id="cookie-notice">We use cookies, always. Really.</div>
     <div class="wrap"><div class="sidebar"><p>Side text, long enough, with points. Yes.</p></div><div class="content"><h2>Title &eacute;</h2><p>First para, with
