@@ -8,6 +8,7 @@ bounded by the longest text and not by the batch.
 from __future__ import annotations
 
 import contextlib
+import functools
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -101,6 +102,14 @@ def substring_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) ->
     return mix((sums[ends] - sums[starts]) * powers(len(sums))[1][starts])
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or with underscores behind it where ``df`` has such a column (any case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def with_columns(df: DataFrame, fields: list[tuple[str, T.DataType]], make: Callable[[], Callable], text: str = "text") -> DataFrame:
     """``df`` with columns computed from its text column.
 
@@ -131,12 +140,18 @@ def with_columns(df: DataFrame, fields: list[tuple[str, T.DataType]], make: Call
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder in the place all executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """A new folder in the place all executors share: spark.checkpoint.dir.
+
+    Where that is unset a local session gets a temporary folder; on a cluster it is an error, as
+    what an executor writes to a disk of its own would be lost to the others.
+    """
     import tempfile
     import uuid
 
     top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         top = "file://" + tempfile.gettempdir() + "/bidlens-shared"
     return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
@@ -165,17 +180,45 @@ def small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
         spark.conf.set(key, old)
 
 
+_scratch: list[list[DataFrame]] = []
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read again: its lineage ends there."""
     spark = df.sparkSession
     lean(spark)
     path = shared_folder(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._folder = path
+    for tables in _scratch[-1:]:
+        tables.append(out)
+    return out
 
 
-def remove(spark: SparkSession, df: DataFrame) -> None:
-    """Delete what ``written`` wrote for ``df``."""
-    for f in df.inputFiles()[:1]:
-        p = spark._jvm.org.apache.hadoop.fs.Path(f).getParent()
+def remove(df: DataFrame) -> None:
+    """Delete what ``written`` wrote for ``df``, if it did; later uses of it fail."""
+    spark, path = df.sparkSession, getattr(df, "_folder", None)
+    if path:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def settled(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """``f`` with its result written to the shared folder, and all that it wrote on the way deleted."""
+
+    @functools.wraps(f)
+    def run(*args, **kwargs) -> DataFrame:
+        _scratch.append([])
+        try:
+            df = f(*args, **kwargs)
+            _scratch.append([])  # the result is no scratch table
+            try:
+                return written(df, f.__name__)
+            finally:
+                _scratch.pop()
+        finally:
+            for table in _scratch.pop():
+                remove(table)
+
+    return run

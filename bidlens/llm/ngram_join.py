@@ -22,7 +22,8 @@ The product A x A' is never formed as a whole:
 
 Results: a row per input row; ``component_id`` is the smallest doc_id reachable by links.
 Null texts and empty texts: n_shingles 0, own doc_id. Null doc_ids take part and are
-ignored as names (a component of null ids only has a null component_id). Repeated rows stay.
+ignored as names (a component of null ids only has a null component_id). Repeated rows stay. Of the
+columns only doc_id and text are read, so other names don't clash.
 """
 
 from __future__ import annotations
@@ -32,10 +33,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .batches import LOWER, chunks, column_bytes, mix, prefix_sums, remove, small_batches, substring_hashes, words, written
+from .batches import LOWER, chunks, column_bytes, mix, prefix_sums, remove, settled, small_batches, substring_hashes, words, written
 
 #: The counting sketch has so many slots (as a power of two) that each counts about SLOT_LOAD n-grams, within these limits.
 SKETCH_BITS, SLOT_LOAD = (18, 25), 10
@@ -110,7 +111,7 @@ def sketch_bits(docs: DataFrame) -> int:
 
 
 def described(docs: DataFrame, bits: int) -> DataFrame:
-    """kind 0: doc_id, n and signature of each document; kind 1: each task's sketch of n-gram counts, compressed."""
+    """kind 0: doc_id, n, signature and key of each document; kind 1: each task's sketch of n-gram counts, compressed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << bits, np.uint32)
@@ -122,12 +123,12 @@ def described(docs: DataFrame, bits: int) -> DataFrame:
                 ns += map(len, sets)
                 sigs += [signed(signature(x)) if len(x) else None for x in sets]
                 np.add.at(counts, (np.concatenate(sets) >> shift).astype(np.int64), 1)
-            yield pa.RecordBatch.from_arrays([pa.array([0] * len(ns), pa.int32()), ids, pa.array(ns, pa.int64()), pa.array(sigs, pa.int64()), pa.nulls(len(ns), pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array([0] * len(ns), pa.int32()), ids, pa.array(ns, pa.int64()), pa.array(sigs, pa.int64()), batch.column(2), pa.nulls(len(ns), pa.binary())], names=names)
         if counts.any():
-            yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), pa.nulls(1, pa.int64()), pa.array([int(counts.sum())], pa.int64()), pa.nulls(1, pa.int64()), pa.array([zlib.compress(counts.tobytes(), 1)])], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), pa.nulls(1, pa.int64()), pa.array([int(counts.sum())], pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([zlib.compress(counts.tobytes(), 1)])], names=names)
 
-    names = ["kind", "doc_id", "n", "sig", "counts"]
-    return docs.select("doc_id", "text").mapInArrow(run, "kind int, doc_id long, n long, sig long, counts binary")
+    names = ["kind", "doc_id", "n", "sig", "key", "counts"]
+    return docs.select("doc_id", "text", "key").mapInArrow(run, "kind int, doc_id long, n long, sig long, key long, counts binary")
 
 
 def classes(counts: np.ndarray) -> np.ndarray:
@@ -488,11 +489,11 @@ def components(edges: DataFrame) -> DataFrame:
         jump = step.alias("s").join(labels.select(F.col("u").alias("n"), F.col("l").alias("nl")), "n", "left").select("u", F.least("n", F.coalesce("nl", "n")).alias("l"), (F.least("n", F.coalesce("nl", "n")) < F.col("l")).alias("moved"))
         new = written(jump, "labels")
         if old is not None:
-            remove(labels.sparkSession, old)
+            remove(old)
         old, labels = new, new.select("u", "l")
         if not new.where("moved").limit(1).count():
             break
-    remove(labels.sparkSession, both)
+    remove(both)
     return labels.select(F.col("u").alias("sig"), F.col("l").alias("comp"))
 
 
@@ -517,10 +518,15 @@ def linked(pairs: DataFrame, sets: DataFrame, edges: DataFrame | None = None) ->
     return edges, comps
 
 
-def jaccard_components(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id for each row of ``docs`` (doc_id, text; other columns are ignored)."""
+@settled
+def jaccard_components(docs: DataFrame, key: Column | None = None) -> DataFrame:
+    """doc_id, n_shingles, component_id for each row of ``docs`` (doc_id, text; other columns are ignored).
+
+    With ``key`` (a long of each row) also that, and group: one number for all rows of a component, null for rows without words.
+    """
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    extra = [] if key is None else ["key", "group"]
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), (F.lit(None) if key is None else key).cast("long").alias("key"))
     known = written(described(docs, sketch_bits(docs)), "sets")
     rows = known.where("kind = 0")
     nodes = rows.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("first"), F.max("n").alias("n"))
@@ -542,5 +548,5 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
         edges, comps = linked(fresh, more, edges)
     names = nodes.join(comps, "sig", "left").select("sig", "first", F.coalesce("comp", "sig").alias("comp"))
     least = names.groupBy("comp").agg(F.min("first").alias("component_id"))
-    names = names.join(least, "comp").select("sig", "component_id")
-    return rows.join(names, "sig", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    names = names.join(least, "comp").select("sig", "component_id", F.col("comp").alias("group"))
+    return rows.join(names, "sig", "left").select(*extra, "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))

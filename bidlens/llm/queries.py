@@ -27,11 +27,9 @@ def _remainder(n: int):
 
 
 def op1_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Damaged records of a replica of the pages' WARC records: place, page_id, file, offset, length, both digests."""
+    """Records of a replica of the pages' WARC records that are damaged, missing or surplus, as ``warc.audit`` gives them."""
     pages = table(spark, sf_dir, "pages")
-    primary = warc.placed(warc.digests(pages))
-    replica = warc.placed(warc.digests(warc.damaged(pages)))
-    return warc.audit(primary, replica)
+    return warc.audit(warc.digests(pages), warc.digests(warc.damaged(pages)))
 
 
 def op2_avi(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,19 +94,23 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op4_licences": licences.oracle(),
     "op1_warc_fixity": f"""
-WITH rec AS (
-  SELECT page_id, CASE WHEN page_id % 97 = 13 AND length(html) > 0 THEN 1 ELSE 0 END AS hit,
-    'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10)
-      || 'WARC-Record-ID: <urn:page:' || coalesce(CAST(page_id AS VARCHAR), '') || '>' || chr(13) || chr(10) || 'Content-Length: ' AS head,
-    coalesce(html, '') AS body FROM pages),
-both_ AS (
-  SELECT page_id, head || strlen(body) || chr(13) || chr(10) || chr(13) || chr(10) || body || chr(13) || chr(10) || chr(13) || chr(10) AS a,
-    CASE WHEN hit = 1 THEN chr(7) || substr(body, 2) ELSE body END AS body2, head FROM rec),
-full_ AS (SELECT page_id, a, head || strlen(body2) || chr(13) || chr(10) || chr(13) || chr(10) || body2 || chr(13) || chr(10) || chr(13) || chr(10) AS b FROM both_),
-placed AS (
-  SELECT row_number() OVER (ORDER BY page_id NULLS FIRST, sha256(a)) - 1 AS place, page_id, CAST(strlen(a) AS BIGINT) AS length, sha256(a) AS digest, sha256(b) AS replica_digest FROM full_),
-files AS (SELECT *, place // {warc.PER_FILE} AS file FROM placed)
-SELECT place, page_id, file, "offset", length, digest, replica_digest FROM (
-  SELECT *, CAST(coalesce(sum(length) OVER (PARTITION BY file ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset" FROM files)
-WHERE digest <> replica_digest""",
+WITH replica AS (
+  SELECT page_id, url, CASE WHEN page_id % 97 = 13 AND length(html) > 0 THEN chr(7) || substr(html, 2) WHEN page_id % 97 = 41 THEN coalesce(html, '') || 'more' ELSE html END AS html
+  FROM pages WHERE coalesce(page_id % 97, 0) <> 29
+  UNION ALL SELECT page_id, url, html FROM pages WHERE page_id % 97 = 53
+  UNION ALL SELECT -page_id - 1, url, html FROM pages WHERE page_id % 97 = 67),
+either AS (SELECT 1 AS side, * FROM (SELECT page_id, url, html FROM pages) UNION ALL SELECT 2, * FROM replica),
+texts AS (
+  SELECT side, page_id, 'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10)
+    || 'WARC-Record-ID: <urn:page:' || coalesce(CAST(page_id AS VARCHAR), '') || '>' || chr(13) || chr(10) || 'Content-Length: ' || strlen(coalesce(html, ''))
+    || chr(13) || chr(10) || chr(13) || chr(10) || coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10) AS a FROM either),
+sums AS (SELECT page_id, CAST(strlen(a) AS BIGINT) AS length, sha256(a) AS digest, count(*) FILTER (side = 1) AS n1, count(*) FILTER (side = 2) AS n2 FROM texts GROUP BY ALL),
+placed AS (SELECT *, row_number() OVER (ORDER BY page_id NULLS FIRST, digest) - 1 AS place FROM sums WHERE n1 > 0),
+files AS (SELECT *, place // {warc.PER_FILE} AS file FROM placed),
+manifest AS (SELECT *, CAST(coalesce(sum(length * n1) OVER (PARTITION BY file ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset" FROM files),
+lost AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY digest) AS k FROM (SELECT *, unnest(range(n1 - n2)) FROM manifest WHERE n1 > n2)),
+more AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY digest) AS k FROM (SELECT *, unnest(range(n2 - n1)) FROM sums WHERE n2 > n1))
+SELECT CASE WHEN more.k IS NULL THEN 'missing' WHEN lost.k IS NULL THEN 'surplus' ELSE 'damaged' END AS kind, coalesce(lost.page_id, more.page_id) AS page_id,
+  place, file, "offset", lost.length AS length, lost.digest AS digest, more.length AS replica_length, more.digest AS replica_digest
+FROM lost FULL JOIN more ON lost.page_id IS NOT DISTINCT FROM more.page_id AND lost.k = more.k""",
 }

@@ -257,8 +257,8 @@ def slots(h: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.unique(np.concatenate([at[n >= level] + (i << BITS) for i, level in enumerate(LEVELS)]))
 
 
-def train(docs: DataFrame, labels: DataFrame, sample_toxic: int = 2000, sample_other: int = 4000, sample_unlabelled: int = 1000) -> np.ndarray:
-    """Weights of the classifier, learnt from ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic)."""
+def train(docs: DataFrame, labels: DataFrame, sample_toxic: int = 2000, sample_other: int = 4000, sample_unlabelled: int = 1000) -> np.ndarray | None:
+    """Weights of the classifier (None without any usable label), learnt from ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic)."""
     lean(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     labels = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("toxic in (0, 1) and doc_id is not null").where(trainable())

@@ -307,18 +307,26 @@ def test_url_rules(spark):
 
 
 def test_warc_audit(spark):
-    rows = [(i, f"http://h/{i}", f"body {i}" * (i % 7)) for i in range(700)] + [(None, None, None)]
-    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
-    a = warc.placed(warc.digests(pages))
-    assert warc.audit(a, a).count() == 0
-    bad = warc.placed(warc.digests(pages.withColumn("html", F.when(F.col("page_id").isin(3, 333), F.lit("!" * 10)).otherwise(F.col("html")))))
-    got = warc.audit(a, bad).where("digest <> replica_digest").select("page_id").collect()
-    assert {3, 333} <= {r["page_id"] for r in got}
-    same_length = pages.withColumn("html", F.when(F.col("page_id") == 20, F.translate("html", "b", "X")).otherwise(F.col("html")))
-    assert [r["page_id"] for r in warc.audit(a, warc.placed(warc.digests(same_length))).collect()] == [20]
-    short = warc.placed(warc.digests(pages.where("page_id < 600 or page_id is null")))
-    assert warc.audit(a, short).where("replica_digest is null").count() == 100
-    assert warc.audit(a, warc.placed(warc.digests(pages.limit(0)))).count() == len(rows)
+    rows = [(i, f"http://h/{i}", f"body {i}" * (i % 7)) for i in range(700)] + [(None, None, None), (None, "u", "x"), (7, "other", "text"), (7, "other", "text"), (8, "long", "z" * 300_000)]
+    clash = "page_id long, url string, html string, digest string, place long"
+    frame = lambda rows: warc.digests(spark.createDataFrame([(*r, "d", 1) for r in rows], clash))
+
+    def audit(theirs, mine=rows):
+        return sorted((r["kind"], r["page_id"] is not None, r["page_id"] or 0) for r in warc.audit(frame(mine), frame(theirs)).collect())
+
+    change = lambda i, new: [(r[0], r[1], new) if k == i else r for k, r in enumerate(rows)]
+    assert audit(rows[::-1]) == []
+    assert audit(change(20, "body 2X" * 6)) == audit(change(20, "a length of its own")) == [("damaged", True, 20)]
+    assert audit(rows[:350] + rows[351:]) == [("missing", True, 350)]
+    assert audit([*change(702, "one copy damaged"), (10_000, "new", ""), rows[3]]) == [("damaged", True, 7), ("surplus", True, 3), ("surplus", True, 10_000)]
+    odd = change(700, "a null id")
+    assert audit(odd[:703] + odd[704:] + [(None, None, "another"), (8, "third", "of the id")]) == [("damaged", False, 0), ("missing", True, 7), ("surplus", False, 0), ("surplus", True, 8)]
+    assert len(audit([])) == len(rows) == len(audit(rows, [])) and audit([], []) == []
+    r = warc.audit(frame(rows), frame(change(300, html="?"))).first()
+    whole = {x["page_id"]: x["length"] for x in frame(rows[:700]).collect()}
+    before = [x for x in sorted([None, None, *range(700), 7, 8], key=lambda x: -1 if x is None else x)]
+    assert r["place"] == before.index(300) and r["file"] == r["place"] // 256 and r["length"] == whole[300]
+    assert r["offset"] == sum(whole[x] for x in before[r["file"] * 256 : r["place"]])
 
 
 def test_licences(spark, odd):
