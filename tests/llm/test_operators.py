@@ -6,6 +6,7 @@ import random
 import re
 import zlib
 
+import duckdb
 import numpy as np
 import oracle
 import pyarrow as pa
@@ -322,7 +323,7 @@ def test_warc_audit(spark):
     odd = change(700, "a null id")
     assert audit(odd[:703] + odd[704:] + [(None, None, "another"), (8, "third", "of the id")]) == [("damaged", False, 0), ("missing", True, 7), ("surplus", False, 0), ("surplus", True, 8)]
     assert len(audit([])) == len(rows) == len(audit(rows, [])) and audit([], []) == []
-    r = warc.audit(frame(rows), frame(change(300, html="?"))).first()
+    r = warc.audit(frame(rows), frame(change(300, "?"))).first()
     whole = {x["page_id"]: x["length"] for x in frame(rows[:700]).collect()}
     before = [x for x in sorted([None, None, *range(700), 7, 8], key=lambda x: -1 if x is None else x)]
     assert r["place"] == before.index(300) and r["file"] == r["place"] // 256 and r["length"] == whole[300]
@@ -360,20 +361,37 @@ def test_licences_in_wrapped_texts(spark):
         6: f"Copyright (c) 2020 Some One\n{isc}\nfollowed by more",
         7: isc.replace("\n", "\n\n", 1),
         8: "MIT License\nsome text without a full stop\nAll rights reserved",
+        9: "Licensed" + " " * 3000 + "under the MIT License.",
+        10: marked(text(["bsd-redistribute"], 72) + "\n\n1. " + text(["bsd-source"], 72) + "\n2. " + text(["bsd-binary"], 72) + "\n\n" + text(["bsd-warranty"], 72), " * "),
+        11: marked(textwrap.fill("This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.", 72), "# "),
+        12: textwrap.fill("This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", 72) + "\n\n" + text(["gpl-warranty"], 72),
+        13: "// This Source Code Form is subject to the terms of the Mozilla Public\n// License, v. 2.0. If a copy of the MPL was not distributed with this\n// file, You can obtain one at https://mozilla.org/MPL/2.0/.",
     }
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    con = duckdb.connect()
+    documents = df.toPandas()  # noqa: F841
+    twin = {r[0]: (r[2].split(), r[3].split()) for r in con.execute("SELECT doc_id, n_sentences, sentence_ids, licences FROM (" + licences.oracle() + ")").fetchall()}
     got = {r["doc_id"]: (r["sentence_ids"], r["licences"]) for r in licences.scanned(df).collect()}
     three = ["mit-grant", "mit-condition", "mit-warranty"]
     assert got == {
         1: (["mit-notice", *three], ["MIT"]),
         2: (three, ["MIT"]),
-        3: (["bsd-redistribute", "bsd-source", "bsd-binary", "bsd-endorse"], ["BSD-2-Clause", "BSD-3-Clause"]),
+        3: (["bsd-redistribute", "bsd-source", "bsd-binary", "bsd-endorse"], ["BSD-3-Clause"]),
         4: (["apache-notice", "apache-compliance", "apache-copy", "apache-warranty"], ["Apache-2.0"]),
         5: (["isc-grant"], ["ISC"]),
         6: (["isc-grant"], ["ISC"]),
         7: ([], []),
         8: (["mit-notice", "all-rights"], ["All-Rights-Reserved", "MIT"]),
+        9: (["mit-notice"], ["MIT"]),
+        10: (["bsd-redistribute", "bsd-source", "bsd-binary", "bsd-warranty"], ["BSD-2-Clause"]),
+        11: (["lgpl-terms", "later-2.1"], ["LGPL-2.1-or-later"]),
+        12: (["gpl-redistribute", "gpl-warranty"], ["GPL-3.0-or-later"]),
+        13: (["mpl-notice"], ["MPL-2.0"]),
     }
+    assert twin == got
+    assert licences.scanned(df.limit(0)).count() == 0
+    clash = licences.scanned(df.select("text", F.lit(1).alias("Licences"), F.lit("x").alias("sentence_ids"), F.lit(2).alias("words")))
+    assert clash.columns == ["text", "words", "sentence_ids", "licences"]
 
 
 def test_pipeline(spark):
