@@ -5,18 +5,22 @@ ids included, inline tags left out). For each path the text length, the number o
 the punctuation are summed over the page; length per node and punctuation per node are smoothed
 over the blocks in page order, fused by their geometric mean, and paths above a threshold (a share
 of the length-weighted mean) are content. The content node is the lowest one around all blocks of
-content paths; the main text is every block in it that is not boilerplate.
+content paths (an article or main it lies in, where there is one); the main text is every block in it
+that is not boilerplate.
 
 Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, comments of readers
 and hidden parts are left out, by tag, role, class or id, and so are blocks that are nearly all
-links beside real text. Character references are decoded, white space in a block becomes one
+links beside real text. Classes and ids only tell parts of a page from each other: where all text
+has such names they don't count. Character references are decoded, white space in a block becomes one
 space, blocks are joined by a line feed. Unclosed and stray tags are repaired as browsers do for
 paragraphs, items and cells; a tag cut off at the page's end is dropped. Null and empty pages, and
-pages without text, give an empty text. Pages are used whole.
+pages without text, give an empty text. Pages are used whole, in time linear in their length however
+deep they nest; equal pages give equal texts. Columns named as the results (any case) give way.
 """
 
 from __future__ import annotations
 
+import bisect
 import html
 import re
 from collections import defaultdict
@@ -30,7 +34,7 @@ from .bpe import _mapped
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|iframe|svg|math|object|textarea|title|canvas)\b[^>]*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)|[^<]+|<",
+    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"'=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')|[\"'=])*+)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)|[^<]+|<",
     re.S | re.I,
 )
 ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
@@ -53,38 +57,77 @@ SHARE = 0.35
 LINKS = 0.6
 
 
+#: An open paragraph is looked for up to the nearest of these.
+AROUND_P = ("p", "div", "article", "section", "td", "th", "li", "body", "blockquote", "main")
+
+
 class _Node:
-    __slots__ = ("tag", "name", "boiler", "inline", "up")
-
-    def __init__(self, tag: str, name: str, boiler: bool, inline: bool, up: _Node | None):
-        self.tag, self.name, self.boiler, self.inline, self.up = tag, name, boiler, inline, up
-
-
-def _node(tag: str, attributes: str, up: _Node) -> _Node:
-    boiler, label = up.boiler or tag in BOILER, ""
-    inline = tag in INLINE
-    if attributes and not attributes.isspace():
-        got = {k.lower(): v.strip("\"'") for k, v in ATTRIBUTE.findall(attributes)}
-        label = (got.get("class", "") + " " + got.get("id", "")).strip()
-        if label and tag not in ("body", "html", "article", "main") and BOILER_NAME.search(label):
-            boiler = True
-        style = got.get("style", "").replace(" ", "").lower()
-        if got.get("role", "").lower() in BOILER_ROLES or "hidden" in got or got.get("aria-hidden", "").lower() == "true" or "display:none" in style or "visibility:hidden" in style:
-            boiler = True
-    if tag == "header":  # a page's header; inside an article only its headings stay
-        x = up
-        while x is not None and x.tag not in ("article", "main"):
-            x = x.up
-        boiler = boiler or x is None
-    return _Node(tag, tag + ("." + label if label else ""), boiler, inline, up)
+    """An open element: what its ancestors say about it is kept on it, so no block walks to the root."""
+
+    __slots__ = ("tag", "boiler", "named", "inline", "up", "block", "path", "inside", "header", "holder", "depth", "number")
+
+    def __init__(self, tag: str, attributes: str, up: _Node | None, paths: dict[tuple[int, str], int]):
+        self.tag, self.up, self.inline, label = tag, up, tag in INLINE, ""
+        if up is None:
+            self.boiler = self.named = self.inside = self.header = False
+            self.holder, self.block, self.path, self.depth, self.number = None, self, 0, 0, 0
+            return
+        #: boiler: by tag, role or hidden; named: by class or id; inside: an article or main; header: in a header.
+        self.boiler, self.named, self.inside, self.header = up.boiler or tag in BOILER, up.named, up.inside or tag in ("article", "main"), up.header or tag == "header"
+        self.depth = up.depth + 1
+        if attributes and not attributes.isspace():
+            got = {k.lower(): v.strip("\"'") for k, v in ATTRIBUTE.findall(attributes)}
+            label = (got.get("class", "") + " " + got.get("id", "")).strip()
+            if label and tag not in ("body", "html", "article", "main") and BOILER_NAME.search(label):
+                self.named = True
+            style = got.get("style", "").replace(" ", "").lower()
+            if got.get("role", "").lower() in BOILER_ROLES or "hidden" in got or got.get("aria-hidden", "").lower() == "true" or "display:none" in style or "visibility:hidden" in style:
+                self.boiler = True
+        if tag == "header" and not self.inside:  # a page's header; inside an article only its headings stay
+            self.boiler = True
+        self.block = up.block if self.inline else self
+        self.path = up.path if self.inline else paths.setdefault((up.path, tag + ("." + label if label else "")), len(paths) + 1)
+        #: The innermost article or main.
+        self.holder = self if tag in ("article", "main") else up.holder
+
+
+class _Open:
+    """The open elements, with the places of each tag, so that the nearest of a tag is found at once."""
+
+    def __init__(self) -> None:
+        self.paths: dict[tuple[int, str], int] = {}
+        self.nodes = [_Node("", "", None, self.paths)]
+        self.places: dict[str, list[int]] = defaultdict(list)
+        self.blocks = [0]
+        self.number = 0
+
+    def nearest(self, tags: tuple[str, ...]) -> int:
+        """Place of the innermost open element of these tags, 0 where there is none."""
+        return max(self.places[t][-1] if self.places.get(t) else 0 for t in tags)
+
+    def push(self, tag: str, attributes: str) -> None:
+        self.places[tag].append(len(self.nodes))
+        node = _Node(tag, attributes, self.nodes[-1], self.paths)
+        self.number += 1
+        node.number = self.number
+        if not node.inline:
+            self.blocks.append(len(self.nodes))
+        self.nodes.append(node)
+
+    def close(self, place: int) -> None:
+        """Close the element at ``place`` and all in it."""
+        while len(self.nodes) > place:
+            node = self.nodes.pop()
+            self.places[node.tag].pop()
+            if not node.inline:
+                self.blocks.pop()
 
 
 def blocks(page: str) -> list[tuple[_Node, str, int]]:
     """(node, text, characters in links) of the page's blocks in order."""
-    root = _Node("", "", False, False, None)
-    top, out = root, []
+    at, out = _Open(), []
     text: list[str] = []
-    owner, links, in_link = root, 0, 0
+    owner, links, in_link = at.nodes[0], 0, 0
 
     def end() -> None:
         nonlocal links
@@ -101,9 +144,7 @@ def blocks(page: str) -> list[tuple[_Node, str, int]]:
             piece = m[0]
             if piece[0] != "<" or piece == "<":
                 if not text:
-                    owner = top
-                    while owner.inline:
-                        owner = owner.up
+                    owner = at.nodes[-1].block
                 text.append(piece)
                 if in_link:
                     links += len(piece.strip())
@@ -111,17 +152,12 @@ def blocks(page: str) -> list[tuple[_Node, str, int]]:
         tag = tag.lower()
         inline = tag in INLINE
         if m[2]:
-            x = top
-            while x.up is not None and x.tag != tag:
-                if not x.inline and inline:  # a stray inline end tag does not close blocks
-                    x = root
-                    break
-                x = x.up
-            if x.up is None:
+            place = at.nearest((tag,))
+            if not place or (inline and place < at.blocks[-1]):  # a stray inline end tag does not close blocks
                 continue
             if not inline:
                 end()
-            top = x.up
+            at.close(place)
             if tag == "a":
                 in_link = max(0, in_link - 1)
             continue
@@ -134,60 +170,41 @@ def blocks(page: str) -> list[tuple[_Node, str, int]]:
         if not inline:
             end()
             in_link = 0
-            x = top
-            while x.inline:
-                x = x.up
-            if tag == "p" or x.tag == "p":
+            if tag == "p" or at.nodes[-1].block.tag == "p":
                 # blocks end an open paragraph
-                y = x
-                while y.up is not None and y.tag not in ("p", "div", "article", "section", "td", "th", "li", "body", "blockquote", "main"):
-                    y = y.up
-                if y.tag == "p":
-                    top = y.up
+                place = at.nearest(AROUND_P)
+                if place and at.nodes[place].tag == "p":
+                    at.close(place)
             if tag in CLOSES:
                 names, stop = CLOSES[tag]
-                y, found = top, None
-                while y.up is not None and y.tag not in stop:
-                    if y.tag in names:
-                        found = y
-                    y = y.up
-                if found is not None:
-                    top = found.up
-        top = _node(tag, m[4], top)
+                within = at.nearest(stop)
+                found = [x for n in names for x in at.places[n][bisect.bisect_right(at.places[n], within) :][:1]]
+                if found:
+                    at.close(min(found))
+        at.push(tag, m[4])
         if tag == "a":
             in_link += 1
     end()
     return out
 
 
-def _path(node: _Node) -> str:
-    names = []
-    while node.up is not None:
-        if not node.inline:
-            names.append(node.name)
-        node = node.up
-    return "/".join(reversed(names))
+def _around(one: _Node, two: _Node) -> _Node:
+    """The lowest block around both."""
+    while one.depth > two.depth:
+        one = one.up
+    while two.depth > one.depth:
+        two = two.up
+    while one is not two:
+        one, two = one.up, two.up
+    return one.block
 
 
-def _kept(node: _Node) -> bool:
-    """False for blocks in an article's header that are no headings."""
-    heading, x = node.tag in HEADINGS, node
-    while x is not None:
-        if x.tag == "header":
-            return heading
-        x = x.up
-    return True
-
-
-def main_text(page: str | None) -> str:
-    found = blocks(page or "")
-    live = [b for b in found if not b[0].boiler and _kept(b[0])]
-    if not live:
-        return ""
-    length: dict[str, int] = defaultdict(int)
-    marks: dict[str, int] = defaultdict(int)
-    nodes: dict[str, int] = defaultdict(int)
-    paths = [_path(n) for n, _, _ in live]
+def path_scores(live: list[tuple[_Node, str, int]]) -> tuple[dict[int, float], float]:
+    """Score of each tag path, and the score from which a path is content."""
+    length: dict[int, int] = defaultdict(int)
+    marks: dict[int, int] = defaultdict(int)
+    nodes: dict[int, int] = defaultdict(int)
+    paths = [n.path for n, _, _ in live]
     for path, (_, text, links) in zip(paths, live, strict=True):
         length[path] += max(0, len(text) - links)
         marks[path] += len(PUNCTUATION.findall(text))
@@ -197,50 +214,47 @@ def main_text(page: str | None) -> str:
     kernel = np.array([1.0, 2.0, 1.0])
     weight = np.convolve(np.ones(len(paths)), kernel)[1:-1]
     fused = np.sqrt((np.convolve(text_ratio, kernel)[1:-1] / weight) * (np.convolve(mark_ratio, kernel)[1:-1] / weight))
-    score: dict[str, float] = defaultdict(float)
+    sums: dict[int, float] = defaultdict(float)
     for p, f in zip(paths, fused, strict=True):
-        score[p] = max(score[p], float(f))
+        sums[p] += float(f)
+    # a path scores its mean, and no more than its own ratios: what stands beside content is not content for that
+    score = {p: min(sums[p] / nodes[p], 2 * float(np.sqrt((length[p] / nodes[p]) * (marks[p] / nodes[p])))) for p in length}
     total = sum(length.values())
-    line = SHARE * sum(score[p] * n for p, n in length.items()) / total if total else 0.0
-    chosen = {p for p in length if score[p] >= line}
-    # the lowest node around all chosen blocks
-    around: list[_Node] | None = None
-    for p, (node, _, _) in zip(paths, live, strict=True):
-        if p in chosen:
-            up = []
-            x = node
-            while x is not None:
-                if not x.inline:
-                    up.append(x)
-                x = x.up
-            up.reverse()
-            if around is None:
-                around = up
-            else:
-                n = 0
-                while n < min(len(around), len(up)) and around[n] is up[n]:
-                    n += 1
-                del around[n:]
-    holds = around[-1] if around else None
+    return score, SHARE * sum(score[p] * n for p, n in length.items()) / total if total else 0.0
+
+
+def main_text(page: str | None) -> str:
+    found = [b for b in blocks(page or "") if not b[0].boiler and (not b[0].header or b[0].tag in HEADINGS)]
+    # names only tell parts of a page from each other: a page all of whose text has such names is not empty
+    live = [b for b in found if not b[0].named] or found
+    if not live:
+        return ""
+    score, line = path_scores(live)
+    content = [node for node, _, _ in live if score[node.path] >= line]
+    if not content:
+        return ""
+    # the lowest node around all blocks of content paths: that around the first and the last in the order of their tags
+    holds = _around(min(content, key=lambda x: x.number), max(content, key=lambda x: x.number))
     # a lone paragraph, list or row stands for the node around it, and anything inside an article for the article
-    while holds is not None and holds.tag in LONE and holds.up is not None and holds.up.up is not None and holds.up.tag not in ("body", "html"):
+    while holds.tag in LONE and holds.up is not None and holds.up.up is not None and holds.up.tag not in ("body", "html"):
         holds = holds.up
-    x = holds
-    while x is not None:
-        if x.tag in ("article", "main"):
-            holds = x
-            break
-        x = x.up
+    holds = holds.holder or holds
+    article = holds.tag in ("article", "main")
+    inside: dict[_Node, bool] = {holds: True}
     out = []
-    for p, (node, text, links) in zip(paths, live, strict=True):
-        x = node
-        while x is not None and x is not holds:
+    for node, text, links in live:
+        up, x = [], node
+        while x is not None and x not in inside:
+            up.append(x)
             x = x.up
-        if x is None or holds is None:
+        here = x is not None and inside[x]
+        inside |= dict.fromkeys(up, here)
+        if not here:
             continue
-        if holds.tag not in ("article", "main") and p not in chosen and node.tag not in HEADINGS and node.tag not in ("p", "li", "blockquote", "pre", "td", "th", "dd", "dt", "figcaption", "caption"):
+        chosen = score[node.path] >= line
+        if not article and not chosen and node.tag not in HEADINGS and node.tag not in ("p", "li", "blockquote", "pre", "td", "th", "dd", "dt", "figcaption", "caption"):
             continue
-        if links > LINKS * len(text) and (node.tag == "li" or PUNCTUATION.search(text) is None) and p not in chosen:
+        if links > LINKS * len(text) and (node.tag == "li" or PUNCTUATION.search(text) is None) and not chosen:
             continue
         out.append(text)
     return "\n".join(out)

@@ -4,6 +4,7 @@ import hashlib
 import os
 import random
 import re
+import time
 import zlib
 
 import duckdb
@@ -283,6 +284,47 @@ def test_main_text_without_article():
     assert html_text.main_text(page) == "\n".join(rows)
 
 
+def test_main_text_by_path_ratios(monkeypatch):
+    """Pages without article, main or telling names: the paths' ratios alone decide, and their threshold matters."""
+    rng = random.Random(4)
+    pages = []
+    for k in range(60):
+        word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 9)))
+        say = lambda n: " ".join(" ".join(word() for _ in range(rng.randrange(6, 14))) + rng.choice([".", ", so.", "?"]) for _ in range(n))
+        body = [say(rng.randrange(2, 8)) for _ in range(rng.randrange(4, 9))]
+        links = "".join(f"<div class=c{k}a><a href=x>{word()} {word()}</a></div>" for _ in range(rng.randrange(5, 12)))
+        marks = "".join(f"<td>{word()} {word()}</td>" for _ in range(6))
+        text = "".join(f"<p>{x}</p>" for x in body)
+        if k % 3 == 0:
+            page = f"<body><div>{links}</div><div><div>{text}</div></div><div><span>{word()} {word()}</span></div></body>"
+        elif k % 3 == 1:
+            page = f"<body><table><tr>{marks}</tr></table><div id=x{k}>{text}</div><div>{links}</div>"
+        else:
+            page = f"<body><div>{links}</div><div>{text}<ul><li>{body[0]}</li></ul></div><div>{links}</div></body>"
+            body = [*body, body[0]]
+        pages.append((page, "\n".join(body)))
+    assert [html_text.main_text(page) for page, _ in pages] == [want for _, want in pages]
+    results = set()
+    for share in (-1, 0.35, 5):
+        monkeypatch.setattr(html_text, "SHARE", share)
+        results.add(tuple(html_text.main_text(page) for page, _ in pages))
+    assert len(results) == 3
+
+
+def test_main_text_of_odd_pages(spark):
+    assert html_text.main_text('<body><div class="widget"><p>All text, here, is in a widget.</p></div></body>') == "All text, here, is in a widget."
+    assert html_text.main_text('<article><p title=\'say "x>y"\'>One <b>two</b><p data-x="a>b">three"</article>') == 'One two\nthree"'
+    for page in ("<div>x" * 100_000, "<b>x" * 50_000 + "</i>" * 50_000, "<x-a>" * 50_000 + "<p>a" * 50_000, '<a "' * 50_000, '<a href="' * 50_000):
+        began = time.process_time()
+        html_text.main_text(page)
+        assert time.process_time() - began < 10  # linear: quadratic time takes minutes
+    rows = [(1, None, None, 1), (2, "u", "", 2), (2, "u", "", 2), (None, "v", "<p>a</p>" * 60_000, 3), (3, "w", "plain text", 4)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, N_chars int")
+    got = {r["page_id"]: (r["text"], r["n_chars"]) for r in html_text.with_main_text(df).collect()}
+    assert got == {1: ("", 0), 2: ("", 0), None: ("a\n" * 59_999 + "a", 119_999), 3: ("plain text", 10)}
+    assert html_text.with_main_text(df.limit(0)).count() == 0
+
+
 def test_main_text_of_pages(spark):
     import html as h
 
