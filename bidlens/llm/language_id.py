@@ -5,14 +5,17 @@ as a space; n-grams without a letter don't count). The value of an n-gram is its
 text's n-grams times its inverse document frequency; document frequencies are counted over all
 documents that may be learnt from. Weights are fitted by follow-the-regularised-leader with
 L1 and L2 penalties on a bounded sample (``sample_per_language`` documents of each language,
-chosen by a hash of the id); a quarter of the sample fits the temperature of the softmax.
+chosen by a hash of the id, equal texts once; of more than ``languages`` languages the rarest are
+not learnt); a quarter of the sample fits the temperature of the softmax.
 
 Only documents with a non-null ``lang`` and crc32(doc_id as text) mod 4 != 2 are learnt from.
 ``lang``, ``source`` and ``doc_id`` are no inputs of a prediction.
 
 Results: null texts and texts without a letter are ``und`` with score 0. Where nothing can be
 learnt (an empty table, no languages) every text is ``und``. A null doc_id counts as held out
-never (it has no remainder) and is not learnt from. Texts are used whole.
+never (it has no remainder) and is not learnt from. Texts are used whole; equal texts are judged
+alike, ties between languages go to the first by name. Columns of the documents named as the results
+(any case) give way.
 """
 
 from __future__ import annotations
@@ -54,13 +57,13 @@ def slots(data: np.ndarray, offs: np.ndarray) -> tuple[list[np.ndarray], np.ndar
     c = lower[points]
     n = len(c)
     letters = np.add.reduceat(np.append(is_letter, False).astype(np.int64), np.minimum(at[:-1], n)) * (at[1:] > at[:-1])
-    out = [np.where(is_letter, ((c * _MIX[0]) >> np.uint32(32 - BITS)) | np.uint32(1), 0).astype(np.uint32)]
+    out = [np.where(is_letter, np.maximum((c * _MIX[0]) >> np.uint32(32 - BITS), np.uint32(1)), 0).astype(np.uint32)]
     h, some, ends = c * _MIX[1], is_letter, at[1:][at[1:] > 0]
     for k in (1, 2):
         h = h[:-1] * _MIX[2] + c[k:] * _MIX[3] if k < n else np.zeros(0, np.uint32)
         some = some[:-1] | is_letter[k:] if k < n else np.zeros(0, bool)
         x = np.zeros(n, np.uint32)
-        x[: len(h)] = np.where(some, (((h ^ (h >> np.uint32(15))) * _MIX[4 if k == 1 else 0]) >> np.uint32(32 - BITS)) | np.uint32(1), 0)
+        x[: len(h)] = np.where(some, np.maximum(((h ^ (h >> np.uint32(15))) * _MIX[4 if k == 1 else 0]) >> np.uint32(32 - BITS), np.uint32(1)), 0)
         for b in range(1, k + 1):  # those that would run into the next row
             x[ends[ends >= b] - b] = 0
         out.append(x)
@@ -197,14 +200,15 @@ def fitted(rows: list[tuple[str, np.ndarray, np.ndarray]], idf: np.ndarray, epoc
     return Model(langs, values, w[SLOTS], float(np.exp((lo + hi) / 2)))
 
 
-def train(docs: DataFrame, sample_per_language: int = 500) -> Model | None:
-    """A model learnt from ``docs`` (doc_id, text, lang)."""
+def train(docs: DataFrame, sample_per_language: int = 500, languages: int = 1000) -> Model | None:
+    """A model learnt from ``docs`` (doc_id, text, lang); of more than ``languages`` languages the rarest are not learnt."""
     lean(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where(learnable())
-    share = docs.where("text is not null").groupBy("lang").count().select("lang", (F.lit(float(sample_per_language)) / F.col("count")).alias("share"))
-    share = F.broadcast(share.orderBy(F.desc("share"), "lang").limit(1000))  # at most 1000 languages
+    share = docs.where("text is not null").groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages)
+    share = F.broadcast(share.select("lang", (F.lit(float(sample_per_language)) / F.col("count")).alias("share")))  # a row per language
     picked = F.pmod(F.xxhash64(F.lit("language"), "doc_id"), F.lit(1_000_000)) < F.col("share") * 1_000_000
-    rows = term_counts(docs.where("text is not null").join(share, "lang").where(picked))
+    # equal texts count once, so that a row repeated many times can't make the sample large
+    rows = term_counts(docs.where("text is not null").join(share, "lang").where(picked).select("lang", "text").distinct())
     df = document_frequencies(docs)
     idf = (np.log((1 + df[SLOTS]) / (1 + df[:SLOTS])) + 1).astype(np.float64)
     return fitted(rows, idf)

@@ -12,12 +12,16 @@ share their weight. The posterior of a text follows from the voters that fire.
 
 The *classifier* is a logistic regression on hashed words and word beginnings (that a text has one,
 two or four of), fitted with an L1 penalty to posterior labels of a bounded sample of documents
-(``sample_toxic`` and ``sample_other`` labelled ones, ``sample_unlabelled`` others).
+(``sample_toxic`` and ``sample_other`` labelled ones, ``sample_unlabelled`` others). Where a sampled
+document has a label, that is one more voter of its posterior, right with odds ``gold`` (1: no vote).
+At most ``voters`` voters are used, the best first.
 
 Labels come only from documents with crc32(doc_id as text) mod 5 != 0; labels, lang, source and
 doc_id are no inputs of a score. Null and empty texts get the score of a text without features.
 Without any labels the lexicon alone votes. A label that is null is none; a document with two
-labels counts as toxic if one of them says so.
+labels counts as toxic if one of them says so. Of labelled rows that repeat an id the first text by
+order is learnt from, of unlabelled rows each text once; equal texts have equal scores. Texts are used
+whole. A column of the documents named as the score (any case) gives way. An empty table has no rows.
 """
 
 from __future__ import annotations
@@ -44,6 +48,8 @@ BEGINNINGS = (4, 5, 6, 7)
 LEVELS = (1, 2, 4)
 BITS = 20
 MAX_VOTERS = 128
+#: Odds that a label, one voter among the others, is right.
+GOLD = 99.0
 
 _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = _LETTER[128:] = True
@@ -128,7 +134,7 @@ def mined(rows: list[tuple[int | None, np.ndarray, np.ndarray]], known: list[tup
         m = np.where(there[at] == have, m[at], 0) if len(there) else np.zeros(len(have))
         ratio = (n / len(toxic)) / ((m + 0.5) / len(other))
         found += [(-float(k * np.log(r)), int(h), level) for h, k, r in zip(have, n, ratio, strict=True) if r >= 15]
-    ordered = [(h, level) for _, h, level in sorted(found)[:4000]]
+    ordered = [(h, level) for _, h, level in sorted(found)]
     order = np.argsort(keys, kind="stable")
     keys, count, doc = keys[order], count[order], doc[order]
 
@@ -257,7 +263,7 @@ def slots(h: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.unique(np.concatenate([at[n >= level] + (i << BITS) for i, level in enumerate(LEVELS)]))
 
 
-def train(docs: DataFrame, labels: DataFrame, sample_toxic: int = 2000, sample_other: int = 4000, sample_unlabelled: int = 1000) -> np.ndarray:
+def train(docs: DataFrame, labels: DataFrame, sample_toxic: int = 2000, sample_other: int = 4000, sample_unlabelled: int = 1000, gold: float = GOLD, voters: int = MAX_VOTERS) -> np.ndarray:
     """Weights of the classifier, learnt from ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic)."""
     lean(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -269,20 +275,21 @@ def train(docs: DataFrame, labels: DataFrame, sample_toxic: int = 2000, sample_o
     for y, most in ((1, sample_toxic), (0, sample_other)):
         part = labels.where(F.col("toxic") == y).orderBy(first, "doc_id").limit(most)
         chosen = part if chosen is None else chosen.union(part)
-    picked = docs.join(F.broadcast(chosen), "doc_id").select("text", "toxic")  # bounded by the two sample sizes
+    # a text of each id, so the two sample sizes bound the rows; of rows with one id the first text counts
+    picked = docs.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).select("text", "toxic")
     count = docs.count()
     share = F.pmod(F.xxhash64(F.lit("unlabelled"), "doc_id"), F.lit(1_000_000)) < 1_000_000 * sample_unlabelled / max(count, 1)
     rows = sample_features(picked)
-    more = sample_features(docs.where(trainable()).where(share).select("text", F.lit(None).cast("int").alias("toxic")))
-    voters = Voters(mined(rows, [(hashed(w), 1) for w in LEXICON]))
-    total, together = vote_counts(docs, voters)
+    more = sample_features(docs.where(trainable()).where(share).select("text", F.lit(None).cast("int").alias("toxic")).distinct())
+    found = Voters(mined(rows, [(hashed(w), 1) for w in LEXICON], voters))
+    total, together = vote_counts(docs, found)
     prior = (sizes.get(1, 0) + 1) / (sizes.get(0, 0) + sizes.get(1, 0) + 10)
     model = LabelModel(total, together, prior)
     ready = []
     for y, h, n in rows + more:
-        p = model.posterior(voters.fired(np.zeros(len(h), np.int64), h, n)[1])
-        if y is not None:  # a label is one more voter, right 99 times in 100
-            odds = p / (1 - p) * (99 if y else 1 / 99)
+        p = model.posterior(found.fired(np.zeros(len(h), np.int64), h, n)[1])
+        if y is not None:  # a label is one more voter
+            odds = p / (1 - p) * (gold if y else 1 / gold)
             p = odds / (1 + odds)
         ready.append((slots(h, n), p))
     return logistic(ready)

@@ -163,6 +163,13 @@ def test_language_on_held_out_rows(spark, odd):
     model = language_id.train(spark.read.parquet(f"{SF}/documents.parquet"))
     rows = {r["doc_id"]: r for r in language_id.with_language(odd, model).collect()}
     assert [rows[i]["lang_pred"] for i in (1, 2, 3, 7)] == ["und"] * 4 and rows[6]["lang_pred"] == "fr" and rows[1]["score"] == 0
+    held_out = spark.createDataFrame([(None, "text", "en")], "doc_id long, text string, lang string").select(queries._held_out(4, 2)).first()[0]
+    assert held_out is False and language_id.with_language(odd.limit(0), model).count() == 0
+    assert sorted((r["doc_id"] or 0) for r in language_id.with_language(odd.withColumn("Lang_pred", F.lit(1)), model).collect()) == sorted(i or 0 for i, *_ in ODD)
+    # of three languages the two most frequent are learnt, and a row repeated often counts once
+    many = spark.range(1, 400).selectExpr("id as doc_id", "case when id % 10 = 0 then 'rare words of it ' || id else 'common text of the kind ' || id end as text", "case when id % 10 = 0 then 'xx' when id % 2 = 0 then 'en' else 'de' end as lang")
+    again = spark.range(3000).selectExpr("1L as doc_id", "'the same text' as text", "'en' as lang")
+    assert language_id.train(many.union(again), languages=2).langs == ["de", "en"]
     assert language_id.train(odd.limit(0)) is None
     assert language_id.with_language(odd, None).where("lang_pred <> 'und'").count() == 0
 
@@ -180,6 +187,7 @@ def test_toxicity_on_held_out_rows(spark, odd):
     assert n.get((1, 1), 0) >= 0.7 * (n.get((1, 1), 0) + n.get((1, 0), 0)) and n.get((0, 1), 0) <= 0.02 * n[0, 0]
     labels = spark.createDataFrame([(4, None, 1), (9, 1, 0)], "doc_id long, quality int, toxic int")
     weights = toxicity.train(odd, labels)
+    assert (toxicity.train(odd.unionByName(odd), labels.union(labels)) == weights).all()  # repeated ids and labels
     rows = toxicity.with_toxicity(odd, weights).collect()
     assert len(rows) == len(ODD) and all(0 <= r["score"] <= 1 for r in rows)
     assert toxicity.with_toxicity(odd.limit(0), weights).count() == 0
