@@ -105,9 +105,11 @@ def fields(spans: DataFrame, as_of: datetime.date = AS_OF) -> DataFrame:
     """doc_id, field_name, primary_value, normalized_value, confidence, n_candidates, kind, start, end, ref, source.
 
     A deposit above the bid amount has its confidence halved and the conflict kind ``deposit``.
-    Spans are dealt out by document once; every window below keeps to that.
+    Spans are dealt out by document once; every window below keeps to that. The number of parts is
+    given, since the work on a span is dear for its few bytes, which the planner goes by.
     """
-    df = dedupe(spans.repartition("doc_id")).withColumns({"_n": numeric(F.col("value"), F.col("normalized_value")), "_ok": plausible(as_of), "_shown": shown()})
+    n = int(spans.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    df = dedupe(spans.repartition(n, "doc_id")).withColumns({"_n": numeric(F.col("value"), F.col("normalized_value")), "_ok": plausible(as_of), "_shown": shown()})
     group, doc = W.partitionBy("doc_id", "field_name"), W.partitionBy("doc_id")
     df = df.withColumns({
         "n_candidates": F.count(F.lit(1)).over(group), "_values": F.size(F.collect_set("_shown").over(group)), "_numbers": F.count("_n").over(group), "_low": F.min("_n").over(group), "_high": F.max("_n").over(group),

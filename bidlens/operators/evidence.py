@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bidlens.functions import text
-from bidlens.operators.structure import asof_last, headings
+from bidlens.operators.structure import with_sections
 
 
 def located(spans: DataFrame, docs: DataFrame) -> DataFrame:
@@ -15,7 +15,7 @@ def located(spans: DataFrame, docs: DataFrame) -> DataFrame:
     Offsets are code points, -1 where the value can't be found. Inside a match the value is looked
     for first; spans without a place are looked for in the text by value, normalised value, then context.
     """
-    df = spans.join(docs.select("doc_id", F.col("content").alias("_c")), "doc_id")
+    df = spans.join(with_sections(docs).select("doc_id", F.col("content").alias("_c"), F.col("heads").alias("_heads")), "doc_id")
     df = df.withColumns({"_in": (F.col("start") >= 0) & (F.col("start") < F.col("end")) & (F.col("end") <= F.length("_c")), "_v": text.utrim(F.col("value")), "_w": text.utrim(F.coalesce("normalized_value", F.lit("")))})
     df = df.withColumn("_body", F.when(F.col("_in"), F.substring("_c", F.col("start") + 1, F.col("end") - F.col("start"))).otherwise(F.col("_c")))
     place = lambda part, body: F.when(F.length(part) > 0, F.position(part, body)).otherwise(F.lit(0))
@@ -43,8 +43,9 @@ def located(spans: DataFrame, docs: DataFrame) -> DataFrame:
         "line_end": F.when(some, text.line_of(F.col("_c"), F.col("source_end"))),
     }).drop("_c", "_in", "_v", "_w", "_body", "_pv", "_pw", "_ref", "_pr", "_rv", "_rw")
     none = F.array().cast("array<string>")
-    placed = asof_last(df, headings(docs).withColumnRenamed("path", "section_path"), "doc_id", "source_start", "start", "section_path")
-    return placed.withColumn("section_path", F.when(F.col("source_start") >= 0, F.coalesce("section_path", none)).otherwise(none))
+    before = F.filter("_heads", lambda h: h["start"] <= F.col("source_start"))
+    section = F.when(F.col("source_start") >= 0, F.try_element_at(before, F.lit(-1))["path"])
+    return df.withColumn("section_path", F.coalesce(section, none)).drop("_heads")
 
 
 def pages(spans: DataFrame, page_texts: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from __future__ import annotations
 import re._parser as sre
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,6 +45,7 @@ def characters(pattern: str) -> str:
     return "".join(sorted({chr(v) for k, v in sre.parse(pattern) if k is sre.LITERAL and chr(v).lower() == chr(v).upper()}))
 
 
+ARROW = [pa.string(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.float64(), pa.string(), pa.string()]
 RAW = "field_name string, ord int, raw string, full_match string, start int, end int, confidence double, pattern string, ref string"
 
 
@@ -54,15 +55,18 @@ def raw_spans(docs: DataFrame, rules: list[tuple] | None = None, fields: list[st
     keep = [f for f in docs.schema.fields if f.name != content]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in keep] + [RAW])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import re
 
         compiled = [(f, d, c, re.compile(p, re.I | re.M), literals(p), characters(p)) for f, _, d, c, p in rules]
-        names = [f.name for f in keep]
         for batch in batches:
-            rows = []
-            for key, body in zip(batch[names].itertuples(index=False, name=None), batch[content], strict=True):
-                body, n = body or "", 0
+            at: list[int] = []
+            out: list[list] = [[] for _ in ARROW]
+            add = [c.append for c in out]
+            for i, body in enumerate(batch.column(batch.schema.get_field_index(content)).to_pylist()):
+                if not body:
+                    continue
+                n = 0
                 for field, description, confidence, pattern, starts, must in compiled:
                     if (starts and not any(s in body for s in starts)) or not all(c in body for c in must):
                         continue
@@ -70,13 +74,18 @@ def raw_spans(docs: DataFrame, rules: list[tuple] | None = None, fields: list[st
                         raw = ((m[1] if m.re.groups else m[0]) or "").strip()
                         if raw:
                             a, b = m.span()
-                            rows.append((*key, field, n, raw, m[0], a, b, confidence, description, body[max(0, a - AROUND) : b + AROUND].strip()))
+                            at.append(i)
+                            for put, x in zip(add, (field, n, raw, m[0], a, b, confidence, description, body[max(0, a - AROUND) : b + AROUND].strip()), strict=True):
+                                put(x)
                             n += 1
-            yield pd.DataFrame(rows, columns=[*names, "field_name", "ord", "raw", "full_match", "start", "end", "confidence", "pattern", "ref"])
+            where = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(f.name)).take(where) for f in keep] + [pa.array(c, t) for c, t in zip(out, ARROW, strict=True)], names=names)
 
-    return docs.mapInPandas(run, schema)
+    names = [f.name for f in keep] + [c.split()[0] for c in RAW.split(", ")]
+    return docs.mapInArrow(run, schema)
 
 
+#: Labels of prices and telephones, ends of organisations' names, and what is no name or value.
 PRICE_LABEL = "投标(?:总)?报价|投标金额|项目预算|预算金额|采购预算|最高限价|最高投标限价|招标控制价|控制价|合同金额|中标金额|成交金额"
 PHONE_LABEL = "(?:电话|联系电话|办公电话|传真)[：:]"
 ORG_END = "(?:有限公司|股份公司|集团|公司|企业|委员会|管理委员会|人民政府|政府|办公室|教育局|公安局|管理局|农业农村局|财政局|局|中心|服务中心|监测站|站|大学|学院|学校|医院|研究院|设计院|院|所|馆|厅|部|署|协会|学会)$"

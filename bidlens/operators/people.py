@@ -36,7 +36,7 @@ TABLE_ROWS = [
     rf"\|\s*(?P<name>{NAME})\s*\|\s*(?P<id>{ID18})\s*\|\s*(?P<education>[^|]*)\s*\|\s*(?P<major>[^|]*)\s*\|",
 ]
 #: Identity numbers with a label, alone, and of fifteen digits.
-ID_RULES = [(rf"(?:身份证[号码]*|证件号[码]*)[：:]\s*({ID18})", 0.95), (rf"({ID18})", 0.80), (rf"(?:身份证[号码]*)[：:]\s*({ID15})", 0.75)]
+ID_RULES = [(rf"(?:身份证[号码]*|证件号[码]?|身份号码)[：:]\s*({ID18})", 0.95), (rf"({ID18})", 0.80), (rf"(?:身份证[号码]*)[：:]\s*({ID15})", 0.75)]
 #: Certificates by kind, first come first.
 CERTIFICATES = [
     ("建造师", r"(?:一级|二级|1级|2级)?\s*(?:注册)?\s*建造师[^，。\n]*?(?:证书)?(?:编号|号)[：:]\s*([^\s，。\n]{6,25})"),

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -21,26 +23,60 @@ def lines(docs: DataFrame) -> DataFrame:
     return df.select("doc_id", (F.col("_i") + 1).alias("line_no"), "line", F.coalesce(F.sum(F.length("line") + 1).over(before), F.lit(0)).alias("start"))
 
 
-def _after(level: Column, upto: int, order: W, seen: W) -> Column:
-    """The title of level ``upto`` that still holds at a row: none if a shallower heading came after it."""
-    mine = F.last(F.when(level == upto, F.struct("line_no", "title")), ignorenulls=True).over(seen)
-    shallower = F.last(F.when(level < upto, F.col("line_no")), ignorenulls=True).over(seen)
-    return F.when((level >= upto) & (shallower.isNull() | (mine["line_no"] > shallower)), mine["title"])
+#: White space of any kind, as ``text.utrim`` takes it off.
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+HEADING, MARKS = re.compile(r"#{1,6}[ \t]+\S", re.A), re.compile(r"#+\s+", re.A)
+
+
+def outline(content: str) -> list[dict]:
+    """line_no, level, title, start, end_line, path of each ATX heading of a text, in one pass over its lines."""
+    out: list[dict] = []
+    holds: list[dict] = []  # headings that are still open, each deeper than the one before
+    start = n = 0
+    for n, line in enumerate(content.split("\n"), 1):
+        if line.startswith("#") and HEADING.match(line):
+            level = len(line) - len(line.lstrip("#"))
+            while holds and holds[-1]["level"] >= level:
+                holds.pop()["end_line"] = n - 1
+            title = MARKS.sub("", line, count=1).strip(WHITE)
+            holds.append({"line_no": n, "level": level, "title": title, "start": start, "path": [*(holds[-1]["path"] if holds else ()), title]})
+            out.append(holds[-1])
+        start += len(line) + 1
+    for h in holds:
+        h["end_line"] = n
+    return out
 
 
 def headings(docs: DataFrame) -> DataFrame:
     """doc_id, line_no, level, title, start, end_line, path of each ATX heading.
 
-    ``end_line`` is the line before the next heading of the same or a shallower level.
+    ``end_line`` is the line before the next heading of the same or a shallower level. Null texts have none.
     """
-    # the line count is taken before lines are dropped, so the split happens once
-    df = lines(docs).withColumn("n_lines", F.max("line_no").over(W.partitionBy("doc_id")))
-    df = df.where(F.col("line").rlike(r"^#{1,6}[ \t]+\S")).select("doc_id", "line_no", "n_lines", "start", F.length(F.regexp_extract("line", "^(#+)", 1)).alias("level"), text.utrim(F.regexp_replace("line", r"^#+\s+", "")).alias("title"))
-    order = W.partitionBy("doc_id").orderBy("line_no")
-    seen, later = order.rowsBetween(W.unboundedPreceding, 0), order.rowsBetween(1, W.unboundedFollowing)
-    path = F.array_compact(F.array(*(_after(F.col("level"), k, order, seen) for k in range(1, 7))))
-    following = F.collect_list(F.struct("line_no", "level")).over(later)
-    return df.select("doc_id", "line_no", "level", "title", "start", F.coalesce(F.try_element_at(F.filter(following, lambda x: x["level"] <= F.col("level")), F.lit(1))["line_no"] - 1, F.col("n_lines")).alias("end_line"), path.alias("path"))
+    names = {"line_no": pa.int32(), "level": pa.int32(), "title": pa.string(), "start": pa.int64(), "end_line": pa.int32(), "path": pa.list_(pa.string())}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, rows = [], []
+            for i, body in enumerate(batch.column(1).to_pylist()):
+                found = outline(body or "")
+                at += [i] * len(found)
+                rows += found
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *(pa.array([r[k] for r in rows], t) for k, t in names.items())], names=["doc_id", *names])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "content").mapInArrow(run, f"doc_id {kind}, line_no int, level int, title string, start bigint, end_line int, path array<string>")
+
+
+def with_sections(docs: DataFrame) -> DataFrame:
+    """doc_id, content, and ``heads``: start and path of each heading in order, in the same pass over the text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            heads = [[{"start": h["start"], "path": h["path"]} for h in outline(body or "")] for body in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(heads, pa.list_(pa.struct([("start", pa.int64()), ("path", pa.list_(pa.string()))])))], names=["doc_id", "content", "heads"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "content").mapInArrow(run, f"doc_id {kind}, content string, heads array<struct<start: bigint, path: array<string>>>")
 
 
 def asof_last(left: DataFrame, right: DataFrame, key: str, at: str, right_at: str, value: str) -> DataFrame:
@@ -122,13 +158,19 @@ def chunks(docs: DataFrame, most: int = 800, overlap: int = 100, by_headings: bo
                         parts.append(([path[k] for k in sorted(path)], []))
                     else:
                         parts[-1][1].append(line.strip() if by_headings else line)
-                k = 0
+                k = place = 0
+                line, counted = 1, 0  # ``line`` is that of place ``counted``
                 for titles, own in parts:
                     whole = re.sub(r"\n{2,}", "\n", "\n".join(own)).strip() if by_headings else "\n".join(own).strip()
                     for piece in (recursive_split(whole, most, overlap) if len(whole) // 4 > most else [whole] if whole else []):
-                        at = body.find(piece)
-                        first = body.count("\n", 0, at) + 1 if at >= 0 else 1
-                        last = body.count("\n", 0, at + len(piece)) + 1 if at >= 0 else 1
+                        # pieces follow each other; one that overlaps the last begins before its end
+                        at = body.find(piece, place)
+                        at = body.find(piece) if at < 0 else at
+                        first = last = 1
+                        if at >= 0:
+                            line += body.count("\n", counted, at) if at >= counted else -body.count("\n", at, counted)
+                            first, counted, place = line, at, at + 1
+                            last = first + body.count("\n", at, at + len(piece))
                         rows.append((doc, k, f"{name}_{k:04d}", piece, first, last, titles, len(piece) // 4, hashlib.md5(piece.encode()).hexdigest()))
                         k += 1
             yield pd.DataFrame(rows, columns=["doc_id", *(c.split()[0] for c in CHUNK.split(", "))])

@@ -59,8 +59,9 @@ _PARTS = [
     "'注册建造师证书编号：JZS' || lpad(CAST(cust AS VARCHAR(20)), 8, '0') || '，有效期至：2031年' || CAST(1 + cust % 12 AS VARCHAR(2)) || '月1日'",
 ]
 
+CONTENT = " || chr(10) || ".join(_PARTS)
 #: doc_id and content.
-CORPUS = f"SELECT doc_id, {' || chr(10) || '.join(_PARTS)} AS content FROM ({CHECKED}) k"
+CORPUS = f"SELECT doc_id, {CONTENT} AS content FROM ({CHECKED}) k"
 
 
 def to_spark(sql: str) -> str:
@@ -76,9 +77,13 @@ def view(spark: SparkSession, sf_dir: str, *names: str) -> None:
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, content of a tender document per order with line items."""
-    view(spark, sf_dir)
-    return spark.sql(to_spark(CORPUS))
+    """doc_id, content of a tender document per order with line items.
+
+    The facts are small and what follows is dear, so they are dealt to as many tasks as there are
+    cores or shuffle partitions; the planner would put them into a few.
+    """
+    n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return facts(spark, sf_dir).repartition(n, "doc_id").selectExpr("doc_id", f"{to_spark(CONTENT)} AS content")
 
 
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
