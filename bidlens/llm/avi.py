@@ -7,21 +7,22 @@ every block takes ten bits whatever its value, and packing works on whole arrays
 RIFF file with a header, a movi list and an idx1 index; an INFO entry keeps the payload's length,
 since the last frame may be filled up with zeros.
 
-Reading: RIFF chunks are walked, frames found by the index (by the movi list where there is none),
-each frame's own quantiser and Huffman tables are read, and DC samples decoded. Frames whose codes
-do not all have one length go through a bit by bit decoder (grey, baseline, DC and AC); samples are
-then block means.
+Reading: RIFF chunks are walked, frames found by the index (by the movi list where there is none). Frames
+whose blocks all have one length are decoded together; any other baseline frame, grey or colour, with
+its own or the standard Huffman tables, is decoded whole (``jpeg``) and its luma taken.
 
 Shots: frames have 16-bin histograms; a cut is where the distance to the frame before exceeds the
 mean of the shot's distances so far by three deviations (and a least distance). Clips are rows of
 first and last frame with times.
 
-Null and empty texts are one line of 64 zeros. Equal payloads give equal files. Broken files have
-no clips and a null payload.
+Null and empty texts are one line of 64 zeros. Equal payloads give equal files. Files that cannot be read
+have a row with a status and no clip. Long texts are stored whole; columns of the documents named as the
+results (any case) give way.
 """
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
 import struct
 import zlib
@@ -32,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from . import jpeg
 from .bpe import _mapped
 
 LINE = 64
@@ -40,10 +42,6 @@ LINES, RATE = 16, 25
 #: A cut needs a histogram distance (0 to 1) of at least this.
 LEAST_DISTANCE = 0.1
 
-#: Zigzag order of an 8x8 block, by its rule: diagonals in turn, up and down by turns.
-ZIGZAG = [r * 8 + c for r, c in sorted(((r, c) for r in range(8) for c in range(8)), key=lambda x: (x[0] + x[1], x[0] if (x[0] + x[1]) % 2 else x[1]))]
-
-
 def _segment(marker: int, body: bytes) -> bytes:
     return struct.pack(">BBH", 0xFF, marker, len(body) + 2) + body
 
@@ -83,14 +81,18 @@ def write(payload: bytes) -> bytes:
     height = -(-lines // count)
     samples = np.zeros(count * height * LINE, np.uint8)
     samples[: len(payload)] = np.frombuffer(payload, np.uint8)
-    jpegs = frames_of(samples.reshape(count, height * LINE))
-    sizes = [len(j) for j in jpegs]
-    avih = struct.pack("<14I", 1_000_000 // RATE, 0, 0, 0x10, count, 0, 1, max(sizes), LINE * 8, height * 8, 0, 0, 0, 0)
-    strh = b"vidsMJPG" + struct.pack("<IHHIIIIIIiI4h", 0, 0, 0, 0, 1, RATE, 0, count, max(sizes), -1, 0, 0, 0, LINE * 8, height * 8)
-    strf = struct.pack("<IiiHH4sIiiII", 40, LINE * 8, height * 8, 1, 24, b"MJPG", LINE * 8 * height * 8 * 3, 0, 0, 0, 0)
+    return riff(frames_of(samples.reshape(count, height * LINE)), LINE * 8, height * 8, b"payload %d" % len(payload))
+
+
+def riff(jpegs: list[bytes], width: int, height: int, subject: bytes = b"") -> bytes:
+    """An AVI file of JPEG frames, with an index and ``subject`` in an INFO entry."""
+    sizes, count = [len(j) for j in jpegs], len(jpegs)
+    avih = struct.pack("<14I", 1_000_000 // RATE, 0, 0, 0x10, count, 0, 1, max(sizes), width, height, 0, 0, 0, 0)
+    strh = b"vidsMJPG" + struct.pack("<IHHIIIIIIiI4h", 0, 0, 0, 0, 1, RATE, 0, count, max(sizes), -1, 0, 0, 0, width, height)
+    strf = struct.pack("<IiiHH4sIiiII", 40, width, height, 1, 24, b"MJPG", width * height * 3, 0, 0, 0, 0)
     chunk = lambda name, body: name + struct.pack("<I", len(body)) + body + b"\x00" * (len(body) % 2)
     hdrl = chunk(b"LIST", b"hdrl" + chunk(b"avih", avih) + chunk(b"LIST", b"strl" + chunk(b"strh", strh) + chunk(b"strf", strf)))
-    info = chunk(b"LIST", b"INFO" + chunk(b"ISBJ", b"payload %d\x00" % len(payload)))
+    info = chunk(b"LIST", b"INFO" + chunk(b"ISBJ", subject + b"\x00"))
     movi = chunk(b"LIST", b"movi" + b"".join(chunk(b"00dc", j) for j in jpegs))
     index, at = [], 4
     for s in sizes:
@@ -135,12 +137,13 @@ def frame_places(data: bytes) -> tuple[list[tuple[int, int]], int, int]:
 
 
 class Frame:
-    """The parsed headers of a JPEG frame."""
+    """The parsed headers of a grey JPEG frame with tables of its own."""
 
     def __init__(self, data: bytes):
         self.quant: dict[int, list[int]] = {}
         self.huffman: dict[int, tuple[bytes, bytes]] = {}
         at, self.restart = 2, 0
+        self.height = self.width = self.table = 0
         if data[:2] != b"\xff\xd8":
             raise ValueError("not a JPEG frame")
         while True:
@@ -192,6 +195,8 @@ _tables: dict[bytes, tuple[int, np.ndarray] | None] = {}
 def _fixed(f: Frame) -> tuple[int, np.ndarray] | None:
     """Bits of a block and the DC difference for each value of them, where all blocks have the same number."""
     key = repr((f.huffman, f.dc, f.ac)).encode()
+    if f.dc not in f.huffman or f.ac not in f.huffman or f.table not in f.quant:
+        return None
     if key not in _tables:
         dc, ac = f.codes(f.dc), f.codes(f.ac)
         widths = {n + s for _, n, s in dc}
@@ -207,47 +212,9 @@ def _fixed(f: Frame) -> tuple[int, np.ndarray] | None:
     return _tables[key]
 
 
-def _bit_by_bit(f: Frame) -> np.ndarray:
-    """DC coefficients of a frame with any baseline tables."""
-    dc, ac = ({(n, c): v for c, n, v in f.codes(w)} for w in (f.dc, f.ac))
-    out, blocks = np.zeros(f.blocks(), np.int64), f.blocks()
-    parts, done = [f.data], 0
-    if f.restart:
-        import re
-
-        parts = re.split(rb"\xff[\xd0-\xd7]", f.data)
-    for part in parts:
-        raw = part.replace(b"\xff\x00", b"\xff")
-        bits, at, last = "".join(f"{b:08b}" for b in raw), 0, 0
-
-        def symbol(table: dict) -> int:
-            nonlocal at
-            code, n = 0, 0
-            while (n, code) not in table or n == 0:
-                code, n, at = code << 1 | (bits[at] == "1"), n + 1, at + 1
-                if n > 16:
-                    raise ValueError("broken code")
-            return table[n, code]
-
-        for _ in range(min(f.restart or blocks, blocks - done)):
-            s = symbol(dc)
-            extra = int(bits[at : at + s] or "0", 2)
-            at += s
-            last += extra if s and extra >> (s - 1) else extra - (1 << s) + 1
-            out[done] = last
-            done += 1
-            k = 1
-            while k < 64:
-                rs = symbol(ac)
-                if rs == 0:
-                    break
-                at += rs & 15
-                k += (rs >> 4) + 1
-    return out
-
-
 def samples_of(jpegs: list[bytes]) -> list[np.ndarray]:
-    """The 8-bit samples (block means) of frames; runs of frames with the same tables are decoded together."""
+    """The 8-bit samples of frames: a sample for each block of frames as ``write`` makes them, which are decoded
+    together, and every sample of the first component (grey or luma) of any others."""
     out: list[np.ndarray] = []
     head, frame = None, None
     group: list[bytes] = []
@@ -270,16 +237,16 @@ def samples_of(jpegs: list[bytes]) -> list[np.ndarray]:
     for j in jpegs:
         if head is None or not j.startswith(head):
             flush()
-            frame = Frame(j)
-            head = j[: j.index(b"\xff\xda") + 10] if b"\xff\xda" in j else None
-        if _fixed(frame) and frame.blocks() % 4 == 0:
+            frame, head = None, None
+            with contextlib.suppress(ValueError, IndexError, struct.error):
+                frame, head = Frame(j), j[: j.index(b"\xff\xda") + 10]
+        if frame is not None and _fixed(frame) and frame.blocks() % 4 == 0:
             group.append(j[len(head) : -2].replace(b"\xff\x00", b"\xff"))
             if len(group) * frame.blocks() >= 1 << 19:
                 flush()
         else:
             flush()
-            dc = _bit_by_bit(Frame(j))
-            out.append(np.clip((dc * frame.quant[frame.table][0] + 4) // 8 + 128, 0, 255).astype(np.uint8))
+            out.append(jpeg.decode(j)[0].ravel())
     flush()
     return out
 
@@ -322,23 +289,34 @@ def with_media(docs: DataFrame, media: str = "media", text: str = "text") -> Dat
 
 
 def clips(df: DataFrame, media: str = "media") -> DataFrame:
-    """The other columns of ``df`` and a row for each clip of its AVI files: clip, first_frame, last_frame, start_ms, end_ms."""
-    keep = [f for f in df.schema.fields if f.name != media]
+    """The other columns of ``df`` and a row for each clip of its AVI files: clip, first_frame, last_frame, start_ms, end_ms, status.
+
+    status is ``ok``, or says why a file has no clips, in a row without any: null media, no frames, or what is
+    broken or not motion-JPEG of baseline frames. Columns of ``df`` named like the new ones (any case) give way.
+    """
     new = ["clip", "first_frame", "last_frame", "start_ms", "end_ms"]
-    schema = T.StructType(keep + [T.StructField(n, T.LongType()) for n in new])
+    keep = [f for f in df.schema.fields if f.name != media and f.name.lower() not in (*new, "status")]
+    schema = T.StructType(keep + [T.StructField(n, T.LongType()) for n in new] + [T.StructField("status", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
             for a in range(0, big.num_rows, 64):
                 batch, rows = big.slice(a, 64), []
                 for i, data in enumerate(batch.column(batch.schema.get_field_index(media))):
-                    try:
-                        _, frames, usec = read(data.as_py() or b"")
-                    except (ValueError, IndexError, KeyError, struct.error):
-                        continue
-                    rows += [(i, k, f, n, f * usec // 1000, (n + 1) * usec // 1000) for k, (f, n) in enumerate(shots(frames)[0])]
+                    frames, usec, status = [], 0, "no media"
+                    if data.is_valid:
+                        try:
+                            _, frames, usec = read(data.as_py())
+                            status = "ok" if frames else "no frames"
+                        except (ValueError, IndexError, KeyError, struct.error) as e:
+                            status = f"broken: {e}"
+                    if status == "ok":
+                        rows += [(i, k, f, n, f * usec // 1000, (n + 1) * usec // 1000, status) for k, (f, n) in enumerate(shots(frames)[0])]
+                    else:
+                        rows.append((i, None, None, None, None, None, status))
                 picked = batch.take(pa.array([r[0] for r in rows], pa.int64()))
-                yield pa.RecordBatch.from_arrays([picked.column(picked.schema.get_field_index(f.name)) for f in keep] + [pa.array([r[i] for r in rows], pa.int64()) for i in range(1, 6)], names=schema.names)
+                added = [pa.array([r[i] for r in rows], pa.int64()) for i in range(1, 6)] + [pa.array([r[6] for r in rows], pa.string())]
+                yield pa.RecordBatch.from_arrays([picked.column(picked.schema.get_field_index(f.name)) for f in keep] + added, names=schema.names)
 
     return df.mapInArrow(run, schema)
 

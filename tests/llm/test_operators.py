@@ -1,9 +1,11 @@
 """Operators of the llm subpackage against brute force, exact round trips, held-out labels and odd inputs."""
 
 import hashlib
+import math
 import os
 import random
 import re
+import struct
 import time
 import zlib
 
@@ -15,7 +17,7 @@ import pytest
 from pyspark.sql import functions as F
 
 pytest.importorskip("bidlens.llm.queries")
-from bidlens.llm import avi, bpe, decontamination, html_text, language_id, licences, ngram_join, queries, toxicity, url_rules, warc  # noqa: E402
+from bidlens.llm import avi, bpe, decontamination, html_text, jpeg, language_id, licences, ngram_join, queries, toxicity, url_rules, warc  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -143,16 +145,101 @@ def test_avi_round_trips(spark, odd):
         back, frames, usec = avi.read(avi.write(payload))
         assert back.tobytes() == payload and usec == 40_000
     frame = avi.frames_of(np.frombuffer(bytes(range(256)), np.uint8).reshape(1, -1))[0]
-    assert ((avi._bit_by_bit(avi.Frame(frame)) + 128) == np.arange(256)).all()
+    assert (jpeg.decode(frame)[0].reshape(4, 8, 64, 8)[:, 3, :, 5].ravel() == np.arange(256)).all()
     still, other = np.full(64 * 16, 20, np.uint8), np.full(64 * 16, 200, np.uint8)
     assert avi.shots([still] * 5 + [other] * 5)[0] == [(0, 4), (5, 9)]
     rows = {r["doc_id"]: r for r in avi.with_digests(odd).collect()}
     assert rows[1]["payload_bytes"] == 64 and rows[1]["tail_crc32"] == zlib.crc32(bytes(64)) and rows[1]["media_sha256"] == rows[2]["media_sha256"]
     assert rows[6]["payload_sha256"] == hashlib.sha256(("été " * 50_000).encode().ljust(-(-300_000 // 64) * 64, b"\0")).hexdigest()
     clips = avi.clips(avi.with_media(odd.select("doc_id", "text")).drop("text"))
-    assert clips.where("doc_id = 2").count() == 1 and clips.columns[-2:] == ["start_ms", "end_ms"]
-    broken = odd.select("doc_id", F.lit(b"RIFF....").alias("media"))
-    assert avi.clips(broken).count() == 0
+    assert clips.where("doc_id = 2 and status = 'ok'").count() == 1 and clips.columns[-3:] == ["start_ms", "end_ms", "status"]
+    broken = odd.where("doc_id < 4").select("doc_id", F.when(F.col("doc_id") < 3, F.lit(b"RIFF....")).alias("media"), F.lit(0).alias("Clip"))
+    assert sorted((r["doc_id"], r["clip"], r["status"][:8]) for r in avi.clips(broken).collect()) == [(1, None, "broken: "), (2, None, "broken: "), (3, None, "no media")]
+    assert avi.with_digests(odd.limit(0)).count() == 0
+    assert avi.with_digests(odd.withColumn("Feature", F.lit(1))).columns == [*odd.columns, *(n for n, _ in avi.DIGEST)]
+
+
+def jpeg_frame(planes, quant, tables=True, restart=0):
+    """A baseline frame of planes (each 8x8 blocks; the first twice as wide and high), coded symbol by symbol, and what it decodes to."""
+    standard = {k: (bytes.fromhex(a), bytes.fromhex(b)) for k, (a, b) in jpeg.STANDARD.items()}
+    codes = {}
+    for k, (lengths, symbols) in standard.items():
+        code = i = 0
+        for n, count in enumerate(lengths, 1):
+            for _ in range(count):
+                codes[k, symbols[i]] = f"{code:0{n}b}"
+                code, i = code + 1, i + 1
+            code *= 2
+
+    def value(v):
+        n = abs(v).bit_length()
+        return n, f"{v if v > 0 else v + (1 << n) - 1:0{n}b}" if n else ""
+
+    def transform(block):  # by the definition
+        c = lambda k: math.sqrt(0.5) if k == 0 else 1.0
+        return [[c(u) * c(v) / 4 * sum((block[y][x] - 128) * math.cos((2 * x + 1) * u * math.pi / 16) * math.cos((2 * y + 1) * v * math.pi / 16) for y in range(8) for x in range(8)) for u in range(8)] for v in range(8)]
+
+    def back(f):
+        c = lambda k: math.sqrt(0.5) if k == 0 else 1.0
+        return [[min(255, max(0, math.floor(128.5 + sum(c(u) * c(v) / 4 * f[v][u] * math.cos((2 * x + 1) * u * math.pi / 16) * math.cos((2 * y + 1) * v * math.pi / 16) for v in range(8) for u in range(8))))) for x in range(8)] for y in range(8)]
+
+    want = [np.zeros_like(p) for p in planes]
+    order = [[(0, y, x) for y in (2 * m, 2 * m + 1) for x in (2 * n, 2 * n + 1)] + [(1, m, n), (2, m, n)] for m in range(planes[1].shape[0] // 8) for n in range(planes[1].shape[1] // 8)]
+    out, last, bits = [], [0, 0, 0], ""
+    for k, unit in enumerate(order):
+        if restart and k and k % restart == 0:
+            out.append(bits + "1" * (-len(bits) % 8))
+            bits, last = "", [0, 0, 0]
+        for p, y, x in unit:
+            f = transform(planes[p][8 * y : 8 * y + 8, 8 * x : 8 * x + 8].tolist())
+            q = [round(f[i // 8][i % 8] / quant) for i in jpeg.ZIGZAG]
+            flat = [0] * 64
+            for i, v in zip(jpeg.ZIGZAG, q, strict=True):
+                flat[i] = v * quant
+            want[p][8 * y : 8 * y + 8, 8 * x : 8 * x + 8] = back([flat[8 * r : 8 * r + 8] for r in range(8)])
+            t = min(p, 1)
+            n, extra = value(q[0] - last[p])
+            last[p] = q[0]
+            bits += codes[t, n] + extra
+            run = 0
+            for i, v in enumerate(q[1:], 1):
+                if v == 0:
+                    run += 1
+                    if not any(q[i:]):
+                        bits += codes[16 | t, 0]
+                        break
+                    continue
+                while run > 15:
+                    bits, run = bits + codes[16 | t, 0xF0], run - 16
+                n, extra = value(v)
+                bits, run = bits + codes[16 | t, run << 4 | n] + extra, 0
+    out.append(bits + "1" * (-len(bits) % 8))
+    data = b"".join((bytes([0xFF, 0xD0 + (k - 1) % 8]) if k else b"") + int(b, 2).to_bytes(len(b) // 8, "big").replace(b"\xff", b"\xff\x00") for k, b in enumerate(out))
+    seg = lambda m, body: struct.pack(">BBH", 0xFF, m, len(body) + 2) + body
+    head = b"\xff\xd8" + seg(0xDB, b"\x00" + bytes([quant] * 64)) + seg(0xC0, struct.pack(">BHHB", 8, *planes[0].shape, 3) + b"\x01\x22\x00\x02\x11\x00\x03\x11\x00")
+    if tables:
+        head += b"".join(seg(0xC4, bytes([k]) + a + b) for k, (a, b) in standard.items())
+    if restart:
+        head += seg(0xDD, struct.pack(">H", restart))
+    return head + seg(0xDA, b"\x03\x01\x00\x02\x11\x03\x11\x00\x3f\x00") + data + b"\xff\xd9", want
+
+
+def test_colour_frames_against_the_definition(spark):
+    rng = np.random.default_rng(2)
+    for quant, tables, restart in ((3, True, 0), (20, False, 0), (1, False, 2)):
+        planes = [rng.integers(0, 256, (32, 32)).astype(np.uint8), rng.integers(90, 160, (16, 16)).astype(np.uint8), np.full((16, 16), 200, np.uint8)]
+        frame, want = jpeg_frame(planes, quant, tables, restart)
+        got = jpeg.decode(frame)
+        assert all(np.abs(g.astype(int) - w).max() <= 1 for g, w in zip(got, want, strict=True))
+        for bad in (frame[:-40], frame[:300], b"\xff\xd8", frame.replace(b"\xff\xc0", b"\xff\xc2")):
+            with pytest.raises((ValueError, IndexError, KeyError, struct.error)):
+                jpeg.decode(bad)
+    dark, light = (jpeg_frame([np.full((16, 16), v, np.uint8), np.full((8, 8), 128, np.uint8), np.full((8, 8), 128, np.uint8)], 2, False)[0] for v in (30, 220))
+    film = avi.riff([dark] * 5 + [light] * 7, 16, 16)
+    df = spark.createDataFrame([(1, film)], "id long, media binary")
+    assert [tuple(r) for r in avi.clips(df).collect()] == [(1, 0, 0, 4, 0, 200, "ok"), (1, 1, 5, 11, 200, 480, "ok")]
+
+
 
 
 def test_language_on_held_out_rows(spark, odd):
