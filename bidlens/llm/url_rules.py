@@ -10,11 +10,15 @@ surest rule whose tokens the url all has wins, ``default`` where there is none.
 
 Host: after the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z lower-cased; path: from
 there up to ``?``, ``#`` or the end; both empty for null urls and urls without ``://``. Those have
-no tokens and get the default. Repeated rows are judged alike. Without any label nothing is mined.
+no tokens and get the default. Long urls are judged whole. Repeated rows are judged alike, and each of
+them counts as a label. Of rules as sure as each other the one of more support, then of fewer tokens, then
+the first by its tokens decides. Without any label nothing is mined. Columns of the pages named host,
+path, rule, verdict, tokens or mined_verdict (any case) give way.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -58,11 +62,31 @@ def given_rule(host_: Column, path_: Column, rules: list[tuple[str, str, str]])
     return (rule, verdict) if rule is not None else (F.lit(None).cast("string"), F.lit(None).cast("string"))
 
 
+def equivalent(labelled: DataFrame, support: float) -> list[list[str]]:
+    """The tokens of at least ``support`` of the rows, in groups that stand in just the same rows.
+
+    There are at most (mean tokens of a row) / ``support`` of them. Rows are told by 64-bit hashes.
+    """
+    rows = labelled.select("tokens", F.xxhash64(F.monotonically_increasing_id()).alias("row"))
+    least = support * rows.count()
+    seen = rows.select("row", F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.bit_xor("row").alias("rows")).where(F.col("n") >= least)
+    groups: dict[tuple[int, int], list[str]] = {}
+    for r in sorted(seen.collect()):
+        groups.setdefault((r["n"], r["rows"]), []).append(r["token"])
+    return sorted(groups.values())
+
+
 def mined(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE) -> list[tuple[frozenset, str, float, float]]:
-    """(tokens, verdict, confidence, support) from ``labelled`` (tokens, verdict), the surest first."""
-    baskets = labelled.select(F.array_union("tokens", F.array(F.concat(F.lit("verdict="), "verdict"))).alias("items"))
-    if not baskets.limit(1).count():
+    """(tokens, verdict, confidence, support) from ``labelled`` (tokens, verdict), the surest first.
+
+    FP-growth gets one token of each group that always stands together, since a group of k would make 2^k
+    combinations; rules are then said of every token of a group.
+    """
+    if not labelled.limit(1).count():
         return []
+    groups = {g[0]: g for g in equivalent(labelled, support)}
+    some = F.array(*(F.lit(t) for t in groups)) if groups else F.array().cast("array<string>")
+    baskets = labelled.select(F.array_union(F.array_intersect("tokens", some), F.array(F.concat(F.lit("verdict="), "verdict"))).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(baskets)
     rules = model.associationRules.where(F.element_at("consequent", 1).startswith("verdict=") & (F.size("antecedent") <= LONGEST) & ~F.exists("antecedent", lambda x: x.startswith("verdict=")))
     found = sorted(((frozenset(r["antecedent"]), r["consequent"][0][8:], r["confidence"], r["support"]) for r in rules.collect()), key=lambda r: (len(r[0]), -r[2], -r[3], sorted(r[0])))
@@ -70,7 +94,8 @@ def mined(labelled: DataFrame, support: float = SUPPORT, confidence: float = CON
     for r in found:
         if not any(k[0] < r[0] and k[1] == r[1] and k[2] >= r[2] for k in kept):
             kept.append(r)
-    return sorted(kept, key=lambda r: (-r[2], -r[3], len(r[0]), sorted(r[0]), r[1]))
+    each = [(frozenset(tokens), *r[1:]) for r in kept for tokens in itertools.product(*(groups[t] for t in sorted(r[0])))]
+    return sorted(each, key=lambda r: (-r[2], -r[3], len(r[0]), sorted(r[0]), r[1]))
 
 
 def with_mined(df: DataFrame, rules: list[tuple[frozenset, str, float, float]], default: str, verdict: str = "mined_verdict") -> DataFrame:

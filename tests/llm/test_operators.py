@@ -444,6 +444,40 @@ def test_url_rules(spark):
     assert [r["mined_verdict"] for r in url_rules.with_mined(tokens, rules, "none").collect()] == ["allow", "block", "none", "none"]
 
 
+def test_url_rules_against_brute_force(spark):
+    """The mined rules are all combinations of up to three tokens of enough support and confidence, less those that a part says as surely."""
+    import itertools
+
+    rng = random.Random(6)
+    rows = []
+    for _ in range(300):
+        bad = rng.random() < 0.4
+        have = {t for t in "abcdefg" if rng.random() < 0.4}
+        if bad:
+            have |= {"x1", "x2", *(f"always{i}" for i in range(25))} if rng.random() < 0.8 else {"y", "z"}
+        elif rng.random() < 0.3:
+            have |= {"y"}
+        rows.append((sorted(have), "block" if bad else "allow"))
+    got = url_rules.mined(spark.createDataFrame(rows, "tokens array<string>, verdict string"), 0.05, 0.8)
+    names = sorted({t for ts, _ in rows for t in ts if not t.startswith("always") or t == "always0"})
+    want = {}
+    for n in (1, 2, 3):
+        for combination in itertools.combinations(names, n):
+            have = [v for ts, v in rows if set(combination) <= set(ts)]
+            for verdict in ("allow", "block"):
+                k = have.count(verdict)
+                if k >= 0.05 * len(rows) and k >= 0.8 * len(have):
+                    want[frozenset(combination), verdict] = (k / len(have), k / len(rows))
+    want = {(s, v): x for (s, v), x in want.items() if not any(t < s and v == w and y[0] >= x[0] for (t, w), y in want.items())}
+    mine = {(s, v): (c, p) for s, v, c, p in got if not any(t.startswith("always") and t != "always0" for t in s)}
+    assert mine.keys() == want.keys() and len(want) >= 3
+    assert all(abs(a - b) < 1e-9 for k in want for a, b in zip(mine[k], want[k], strict=True))
+    assert {frozenset({f"always{i}"}) for i in range(25)} <= {s for s, *_ in got}
+    long = "http://a.org/" + "/".join(f"s{i}" for i in range(3000))
+    clash = spark.createDataFrame([(long, "x", 1), (long, "x", 1)], "url string, Verdict string, tokens int")
+    assert [(r["host"], r["verdict"]) for r in url_rules.judged(clash, queries.URL_RULES).collect()] == [("a.org", "allow")] * 2
+
+
 def test_warc_audit(spark):
     rows = [(i, f"http://h/{i}", f"body {i}" * (i % 7)) for i in range(700)] + [(None, None, None), (None, "u", "x"), (7, "other", "text"), (7, "other", "text"), (8, "long", "z" * 300_000)]
     clash = "page_id long, url string, html string, digest string, place long"
