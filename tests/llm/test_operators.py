@@ -565,6 +565,32 @@ def test_licences_in_wrapped_texts(spark):
     assert clash.columns == ["text", "words", "sentence_ids", "licences"]
 
 
+def test_pipeline_stages_on_odd_rows(spark):
+    import corpus_pipeline
+
+    stages = dict(corpus_pipeline.STAGES)
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").where("lang = 'en' and length(text) between 300 and 2000").limit(40).collect()}
+    (one, two, three), other = list(texts.values())[:3], "ganz anderer Text"
+    columns = "doc_id long, text string, lang string, source string, n_chars long, toxicity string, language string, language_score string, text_key string, n_tokens string"
+    rows = [(None, one), (None, one), (7, one), (7, one), (7, two), (8, two + " end"), (9, two + " end"), (None, three), (None, three), (None, None), (10, None), (11, ""), (11, ""), (12, "\n "), (13, other * 10_000)]
+    docs = spark.createDataFrame([(i, t, None, "s", k, "mine", "my own", "x", "y", "z") for k, (i, t) in enumerate(rows)], columns)
+    ids = lambda df: sorted(((r["doc_id"] is None, r["doc_id"] or 0, (r["text"] or "")[:20]) for r in df.collect()))
+    want = [(i is None, i or 0, (t or "")[:20]) for i, t in rows]
+    for name in ("toxicity", "language_id", "decontamination"):
+        out = stages[name](spark, docs, SF)
+        # nothing to learn a language from; these texts are neither toxic nor of the benchmark
+        assert ids(out) == sorted(want), name
+        assert out.columns == docs.columns and {(r["toxicity"], r["language"], r["language_score"], r["text_key"]) for r in out.collect()} == {("mine", "my own", "x", "y")}
+    out = stages["ngram_jaccard"](spark, docs, SF)
+    # one row of id 7 for each of two groups, one of the null ids, and all rows without words
+    assert ids(out) == sorted([(False, 7, one[:20]), (False, 7, two[:20]), (True, 0, three[:20]), (True, 0, ""), (False, 10, ""), (False, 11, ""), (False, 11, ""), (False, 12, "\n "), (False, 13, (other * 2)[:20])])
+    assert out.columns == docs.columns
+    out = stages["bpe"](spark, docs, SF)
+    assert out.count() == len(rows) and out.where("doc_id = 12").first()["n_tokens"] >= 1
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), SF).count() == 0, name
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
