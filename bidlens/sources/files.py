@@ -6,7 +6,6 @@ is not there are reported as rows with an error, not as failures of the job.
 
 from __future__ import annotations
 
-import importlib.util
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field, fields, replace
 
@@ -21,9 +20,8 @@ DOCUMENTS = "doc_id string, filename string, original_format string, content str
 
 
 def capabilities() -> dict[str, bool]:
-    """Formats that can be read here: texts always, others with their library."""
-    there = lambda m: importlib.util.find_spec(m) is not None
-    return {"txt": True, "md": True, "markdown": True, "pdf": there("pymupdf") or there("fitz"), "docx": there("docx")}
+    """Formats that can be read here without a reader of the caller's: texts only."""
+    return {"txt": True, "md": True, "markdown": True, "pdf": False, "docx": False}
 
 
 def supported() -> set[str]:
