@@ -14,14 +14,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bidlens.functions import text as T
+from bidlens.sources import docx
 
 TEXT, MARKDOWN = ("txt",), ("md", "markdown")
 DOCUMENTS = "doc_id string, filename string, original_format string, content string, total_pages int, file_size long, error string"
 
 
 def capabilities() -> dict[str, bool]:
-    """Formats that can be read here without a reader of the caller's: texts only."""
-    return {"txt": True, "md": True, "markdown": True, "pdf": False, "docx": False}
+    """Formats that can be read here without a reader of the caller's."""
+    return {"txt": True, "md": True, "markdown": True, "pdf": False, "docx": True}
 
 
 def supported() -> set[str]:
@@ -36,9 +37,9 @@ def documents(spark: SparkSession, path: str, pattern: str = "*", readers: dict[
     """DOCUMENTS for the files of a folder (not of folders in it) or one file.
 
     ``pattern`` ``*`` keeps supported suffixes only. ``readers``: suffix to a function from bytes to
-    text, for formats that need one (pages of a PDF, a DOCX body, recognised scans).
+    text, for formats that need one (pages of a PDF, recognised scans) or to replace the one for DOCX.
     """
-    readers = readers or {}
+    readers = {"docx": docx.markdown} | (readers or {})
     known = set(capabilities()) | set(readers)
     raw = spark.read.format("binaryFile").option("pathGlobFilter", "*" if pattern in ("*", "*.*") else pattern).load(path)
     raw = raw.select("path", "length", "content").withColumn("suffix", F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)))

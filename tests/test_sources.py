@@ -1,12 +1,14 @@
 """Readers, writers, the command line and the stream."""
 
+import io
 import json
+import zipfile
 
 import pytest
 from pyspark.sql import functions as F
 
 from bidlens import cli
-from bidlens.sources import files, providers, sinks
+from bidlens.sources import docx, files, providers, sinks
 from bidlens.streaming import incremental
 
 TENDER = "# 文件\n\n## 信息\n项目编号：AB-2024-01\n投标报价：1,234,567.00元\n"
@@ -30,6 +32,54 @@ def test_documents(spark, folder):
     assert files.can_parse("x.MD") and not files.can_parse("x.xyz")
 
 
+def docx_file(body, styles=""):
+    ns = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("word/document.xml", f"<w:document {ns}><w:body>{body}</w:body></w:document>")
+        if styles:
+            z.writestr("word/styles.xml", f"<w:styles {ns}>{styles}</w:styles>")
+    return out.getvalue()
+
+
+def style(key, name, default=""):
+    return f'<w:style w:type="paragraph" w:styleId="{key}" {default}><w:name w:val="{name}"/></w:style>'
+
+
+def paragraph(body, key=""):
+    return f'<w:p><w:pPr><w:pStyle w:val="{key}"/></w:pPr><w:r><w:t>{body}</w:t></w:r></w:p>'
+
+
+def cell(body, more=""):
+    return f"<w:tc><w:tcPr>{more}</w:tcPr>{paragraph(body)}</w:tc>"
+
+
+def test_docx_blocks():
+    styles = style("1", "heading 1") + style("t", "标题 2") + style("h", "Heading") + style("9", "heading 9") + style("l", "List Bullet")
+    body = paragraph("招标公告", "1") + paragraph("a", "t") + paragraph("b", "h") + paragraph("c", "9") + paragraph("d", "l") + paragraph(" ") + paragraph("e", "none")
+    assert docx.markdown(docx_file(body, styles)) == "# 招标公告\n\n## a\n\n### b\n\n###### c\n\n- d\n\ne"
+    assert docx.markdown(docx_file(paragraph("x"), style("n", "heading 2", 'w:default="1"'))) == "## x"
+    runs = '<w:p><w:r><w:t>a</w:t><w:tab/><w:t>b</w:t><w:br/></w:r><w:hyperlink><w:r><w:t>c</w:t></w:r></w:hyperlink><w:r><w:br w:type="page"/></w:r><w:del><w:r><w:delText>d</w:delText></w:r></w:del></w:p>'
+    assert docx.markdown(docx_file(runs)) == "a\tb\nc"
+    assert docx.markdown(docx_file("")) == "" and docx.markdown(docx_file("<w:tbl/>")) == ""
+
+
+def test_docx_tables():
+    wide, start, on = '<w:gridSpan w:val="2"/>', '<w:vMerge w:val="restart"/>', "<w:vMerge/>"
+    rows = (cell("a") + cell("b"), cell("1", start) + cell("2"), cell("", on) + cell("3"), cell("w", wide) + cell("lost"), cell("one"), "<w:tc><w:p><w:r><w:t>x</w:t></w:r></w:p><w:p><w:r><w:t>y</w:t></w:r></w:p></w:tc>")
+    got = docx.markdown(docx_file("<w:tbl>" + "".join(f"<w:tr>{r}</w:tr>" for r in rows) + "</w:tbl>"))
+    assert got == "| a | b |\n| --- | --- |\n| 1 | 2 |\n| 1 | 3 |\n| w | w |\n| one |  |\n| x y |  |"
+
+
+def test_docx_files(spark, tmp_path):
+    (tmp_path / "a.docx").write_bytes(docx_file(paragraph("项目编号：DOCX-2026-001", "1"), style("1", "heading 1")))
+    (tmp_path / "b.docx").write_bytes(b"no zip")
+    got = {r["filename"]: r for r in files.documents(spark, str(tmp_path)).collect()}
+    assert got["a.docx"]["content"] == "# 项目编号：DOCX-2026-001" and got["a.docx"]["original_format"] == "docx" and got["a.docx"]["error"] is None
+    assert got["b.docx"]["content"] is None and got["b.docx"]["error"]
+    assert files.can_parse("x.DOCX")
+
+
 def test_gold_and_manifest(spark, tmp_path):
     (tmp_path / "g.jsonl").write_text('# note\n\n{"id": "x", "document": "a.md", "expected": {"f": "v", "g": ["a", " "]}}\n{"document": "b.md", "expected": {"f": []}}\n', encoding="utf-8")
     got = {(r["case_id"][:1], r["field_name"]): r["expected"] for r in files.gold(spark, str(tmp_path / "g.jsonl")).collect()}
