@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
+from xml.sax.saxutils import escape
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bidlens.functions import dates, money, text
 from bidlens.operators import consolidate, evaluation, evidence, extract, keywords, packages, people, privacy, review, route, rules, similar, structure
 from bidlens.plans.corpus import CHECKED, CORPUS, corpus, facts, to_spark, view
+from bidlens.sources import docx
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -333,6 +339,33 @@ def evidence_page(spark, d):
     return evidence.pages(spans, pages).select("doc_id", "page")
 
 
+@query("""SELECT c_custkey AS doc_id, '# ' || c_name || chr(10) || chr(10) || '项目编号：' || c_custkey || chr(10) || chr(10) || '- ' || c_mktsegment || chr(10) || chr(10)
+ || '| 字段 | 值 |' || chr(10) || '| --- | --- |' || chr(10) || '| 国家 | ' || c_nationkey || ' |' || chr(10) || '| ' || c_mktsegment || ' | ' || c_mktsegment || ' |' AS content FROM customer""")
+def docx_markdown(spark, d):
+    """A DOCX file of each customer (heading, paragraph, list, table with a cell over two columns), read back."""
+    view(spark, d, "customer")
+    file = F.pandas_udf(_docx_files, "binary")
+    return spark.table("customer").select(F.col("c_custkey").alias("doc_id"), docx.markdown_column(file("c_custkey", "c_name", "c_mktsegment", "c_nationkey")).alias("content"))
+
+
+def _docx_files(key: pd.Series, name: pd.Series, segment: pd.Series, nation: pd.Series) -> pd.Series:
+    ns = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+    styles = f'<w:styles {ns}>' + "".join(f'<w:style w:type="paragraph" w:styleId="{k}"><w:name w:val="{v}"/></w:style>' for k, v in (("a", "heading 1"), ("b", "List Bullet"))) + "</w:styles>"
+    line = lambda t, style="": f'<w:p><w:pPr><w:pStyle w:val="{style}"/></w:pPr><w:r><w:t>{escape(str(t))}</w:t></w:r></w:p>'
+    cell = lambda t, more="": f"<w:tc><w:tcPr>{more}</w:tcPr>{line(t)}</w:tc>"
+
+    def one(k, n, s, c) -> bytes:
+        rows = (cell("字段") + cell("值"), cell("国家") + cell(c), cell(s, '<w:gridSpan w:val="2"/>'))
+        table = "".join(f"<w:tr>{r}</w:tr>" for r in rows)
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as z:
+            z.writestr("word/styles.xml", styles)
+            z.writestr("word/document.xml", f'<w:document {ns}><w:body>{line(n, "a")}{line(f"项目编号：{k}")}{line(s, "b")}<w:tbl>{table}</w:tbl></w:body></w:document>')
+        return out.getvalue()
+
+    return pd.Series([one(*x) for x in zip(key, name, segment, nation, strict=True)], dtype="object")
+
+
 _PKG = """SELECT 'P' || CAST(o_custkey AS VARCHAR(20)) AS package_id, 'D' || lpad(CAST(o_orderkey AS VARCHAR(20)), 9, '0') AS id,
  CASE o_orderkey % 6 WHEN 0 THEN 'tender' WHEN 1 THEN 'amendment' WHEN 2 THEN 'clarification' WHEN 3 THEN 'bid' WHEN 4 THEN 'attachment' ELSE 'other' END AS role,
  CASE WHEN o_orderkey % 6 = 3 OR o_orderkey % 12 = 4 THEN 'B' || CAST(o_orderkey % 2 AS VARCHAR(20)) END AS bidder,
