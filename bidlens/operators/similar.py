@@ -62,14 +62,15 @@ def pairs(chunks: DataFrame, threshold: float = THRESHOLD, ratio: bool = True) -
     """doc_id, a_no, b_no, score: pairs of a document's chunks whose score reaches the threshold.
 
     A pair can only reach it if the content does its part, and content similarity is bounded by the
-    lengths: pairs that can't are left out before any text is compared.
+    lengths (of texts, or of their sets of characters): pairs that can't are left out before any text is compared.
     """
-    c = chunks.select("doc_id", "chunk_no", "content", "chapter_path", "token_count")
-    a, b = (c.select("doc_id", *(F.col(x).alias(f"{s}_{x}") for x in ("chunk_no", "content", "chapter_path", "token_count"))) for s in "ab")
+    kinds = F.size(F.array_distinct(text.characters(F.col("content"))))
+    c = chunks.select("doc_id", "chunk_no", "content", "chapter_path", "token_count", (F.length("content") if ratio else kinds).alias("len"))
+    a, b = (c.select("doc_id", *(F.col(x).alias(f"{s}_{x}") for x in c.columns[1:])) for s in "ab")
     joined = a.join(b, "doc_id").where("a_chunk_no < b_chunk_no")
     path, size = path_similarity(F.col("a_chapter_path"), F.col("b_chapter_path")), token_similarity(F.col("a_token_count"), F.col("b_token_count"))
-    la, lb = F.length("a_content"), F.length("b_content")
-    bound = F.when(la + lb == 0, 1.0).otherwise(2 * F.least(la, lb) / (la + lb)) if ratio else F.lit(1.0)
+    low, high = F.least("a_len", "b_len"), F.greatest("a_len", "b_len")
+    bound = F.when(high == 0, 1.0).otherwise(2 * low / (low + high) if ratio else low / high)
     joined = joined.withColumns({"_path": path, "_size": size}).where(similarity(bound, F.col("_path"), F.col("_size")) >= threshold - 1e-9)
     content = indel_ratio(F.col("a_content"), F.col("b_content")) if ratio else char_jaccard(F.col("a_content"), F.col("b_content"))
     scored = joined.withColumn("_content", content).withColumn("score", similarity(F.col("_content"), F.col("_path"), F.col("_size")))
@@ -85,6 +86,35 @@ def dedupe(chunks: DataFrame, threshold: float = THRESHOLD, ratio: bool = True)
     return out.select("doc_id", "chunk_no", (copy | F.col("best_score").isNotNull()).alias("is_duplicate"), F.when(copy, F.col("first_no")).alias("duplicate_of"), F.when(copy, 1.0).otherwise(F.coalesce("best_score", F.lit(0.0))).alias("best_score"))
 
 
+def near(chunks: DataFrame, threshold: float = THRESHOLD, ratio: bool = True, loosen: float = 0.8) -> DataFrame:
+    """doc_id, chunk_no, other_no, score, rank: for chunks that are no exact copy, the earlier chunks that come near it.
+
+    A candidate needs ``loosen`` times the threshold; ranks run from the highest score, equals by place.
+    Exact copies have no candidates of their own, but can be one.
+    """
+    own = exact(chunks).where("first_no = chunk_no").select("doc_id", "chunk_no")
+    found = pairs(chunks, threshold * loosen, ratio).select("doc_id", F.col("b_no").alias("chunk_no"), F.col("a_no").alias("other_no"), "score")
+    order = W.partitionBy("doc_id", "chunk_no").orderBy(F.desc(F.round("score", 12)), "other_no")
+    return found.join(own, ["doc_id", "chunk_no"], "left_semi").withColumn("rank", F.row_number().over(order))
+
+
+def merged_extractions(spans: DataFrame, chunks: DataFrame, threshold: float = THRESHOLD, ratio: bool = True) -> DataFrame:
+    """``spans`` (doc_id, chunk_no, field_name, value, start, end, confidence, ord) with those of similar chunks taken over.
+
+    Exact copies give nothing of their own. Every other chunk has its spans and those of each earlier chunk
+    at the threshold; of equal (value, start, end) in a field the chunk's own stays, then that of the most
+    similar chunk. ``ord`` counts a field's spans from 0, the surest first, so 0 is its primary value.
+    """
+    own = exact(chunks).where("first_no = chunk_no").select("doc_id", F.col("chunk_no").alias("_for"), F.col("chunk_no").alias("_from"), F.lit(0).alias("_rank"))
+    others = near(chunks, threshold, ratio, 1.0).select("doc_id", F.col("chunk_no").alias("_for"), F.col("other_no").alias("_from"), F.col("rank").alias("_rank"))
+    source = spans.withColumnRenamed("chunk_no", "_from")
+    taken = own.unionByName(others).join(source, ["doc_id", "_from"])
+    once = W.partitionBy("doc_id", "_for", "field_name", "value", "start", "end").orderBy("_rank", "ord")
+    order = W.partitionBy("doc_id", "_for", "field_name").orderBy(F.desc("confidence"), "_rank", F.col("_ord"))
+    taken = taken.withColumn("_n", F.row_number().over(once)).where("_n = 1").withColumnRenamed("ord", "_ord")
+    return taken.withColumn("ord", F.row_number().over(order) - 1).withColumnRenamed("_for", "chunk_no").select(*spans.columns)
+
+
 def kept(chunks: DataFrame, threshold: float = THRESHOLD, ratio: bool = True) -> DataFrame:
     return chunks.join(dedupe(chunks, threshold, ratio).where("is_duplicate"), ["doc_id", "chunk_no"], "left_anti")
 
@@ -139,6 +169,11 @@ def bands_for(threshold: float, permutations: int) -> tuple[int, int]:
     return min(((b, r) for b in range(1, permutations + 1) for r in range(1, permutations // b + 1)), key=lambda x: (wrong(*x), x))
 
 
+def _buckets(signed: DataFrame, key: str, bands: int, rows: int) -> DataFrame:
+    band = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.struct(i.alias("band"), F.xxhash64(F.slice("signature", i * rows + 1, rows)).alias("bucket")))
+    return signed.select(key, F.explode(band).alias("x")).select(key, "x.band", "x.bucket")
+
+
 def minhash_candidates(docs: DataFrame, key: str, content: str, threshold: float = 0.5, permutations: int = 128) -> DataFrame:
     """band, bucket, a, b: each text b of each bucket that holds more than one, with the bucket's smallest key a.
 
@@ -146,8 +181,27 @@ def minhash_candidates(docs: DataFrame, key: str, content: str, threshold: float
     not with the square of a bucket. The texts themselves (a = b) are members too.
     """
     bands, rows = bands_for(threshold, permutations)
-    signed = signatures(docs, key, content, permutations)
-    band = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.struct(i.alias("band"), F.xxhash64(F.slice("signature", i * rows + 1, rows)).alias("bucket")))
-    buckets = signed.select(F.col(key).alias("b"), F.explode(band).alias("x")).select("b", "x.band", "x.bucket")
+    buckets = _buckets(signatures(docs, key, content, permutations).withColumnRenamed(key, "b"), "b", bands, rows)
     first = buckets.groupBy("band", "bucket").agg(F.min("b").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1")
     return buckets.join(first, ["band", "bucket"]).select("band", "bucket", "a", "b")
+
+
+def lsh_query(asked: DataFrame, docs: DataFrame, key: str, content: str, threshold: float = 0.5, permutations: int = 128) -> DataFrame:
+    """query, first, copies, estimate: for each text of ``asked`` the different texts of ``docs`` that share a band with it.
+
+    ``first`` is the smallest key of a text and ``copies`` its number of rows, by equal signatures; ``estimate`` is the
+    share of equal permutations. Copies are asked and looked up once, so rows grow with different texts only.
+    """
+    bands, rows = bands_for(threshold, permutations)
+
+    def signed(df: DataFrame) -> DataFrame:
+        return signatures(df, key, content, permutations).withColumn("_s", F.xxhash64("signature"))
+
+    askers = signed(asked)
+    few = askers.groupBy("_s").agg(F.first("signature").alias("signature"))
+    index = signed(docs).groupBy("_s").agg(F.min(key).alias("first"), F.count(F.lit(1)).alias("copies"), F.first("signature").alias("signature"))
+    left = _buckets(few, "_s", bands, rows).withColumnRenamed("_s", "_q")
+    hits = left.join(_buckets(index, "_s", bands, rows), ["band", "bucket"]).select("_q", "_s").distinct()
+    same = F.aggregate(F.zip_with("_a", "signature", lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x)
+    scored = hits.join(few.select(F.col("_s").alias("_q"), F.col("signature").alias("_a")), "_q").join(index, "_s").select("_q", "first", "copies", (same / permutations).alias("estimate"))
+    return askers.select(F.col(key).alias("query"), F.col("_s").alias("_q")).join(scored, "_q").drop("_q")

@@ -284,24 +284,54 @@ def _turns(spark, d):
     return spark.read.parquet(f"{d}/conversations.parquet").select(F.col("conv_id").alias("doc_id"), F.col("turn").cast("int").alias("chunk_no"), F.col("text").alias("content"), F.array("role").alias("chapter_path"), text.tokens(F.col("text")).alias("token_count"), F.md5("text").alias("fingerprint"))
 
 
-@query("""WITH t AS (SELECT conv_id AS doc_id, turn, role, text, list_distinct(string_split(text, '')) AS ch, length(text) // 4 AS tok FROM conversations),
-p AS (SELECT a.doc_id, a.turn AS a_no, b.turn AS b_no, len(list_intersect(a.ch, b.ch)) / len(list_distinct(list_concat(a.ch, b.ch))) AS cj, CASE WHEN a.role = b.role THEN 1.0 ELSE 0.0 END AS pj,
-  CASE WHEN a.tok = 0 AND b.tok = 0 THEN 1.0 WHEN a.tok = 0 OR b.tok = 0 THEN 0.0 ELSE least(a.tok, b.tok) / greatest(a.tok, b.tok) END AS tj FROM t a JOIN t b ON a.doc_id = b.doc_id AND a.turn < b.turn)
-SELECT doc_id, CAST(a_no AS INT) AS a_no, CAST(b_no AS INT) AS b_no, 0.6 * cj + 0.3 * pj + 0.1 * tj AS score FROM p WHERE 0.6 * cj + 0.3 * pj + 0.1 * tj >= 0.8""")
+_TURNS = """t AS (SELECT conv_id AS doc_id, turn, role, text, list_distinct(string_split(text, '')) AS ch, length(text) // 4 AS tok, min(turn) OVER (PARTITION BY conv_id, text) AS first_no FROM conversations),
+p AS (SELECT a.doc_id, a.turn AS a_no, b.turn AS b_no, b.first_no = b.turn AS own, len(list_intersect(a.ch, b.ch)) / len(list_distinct(list_concat(a.ch, b.ch))) AS cj, CASE WHEN a.role = b.role THEN 1.0 ELSE 0.0 END AS pj,
+  CASE WHEN a.tok = 0 AND b.tok = 0 THEN 1.0 WHEN a.tok = 0 OR b.tok = 0 THEN 0.0 ELSE least(a.tok, b.tok) / greatest(a.tok, b.tok) END AS tj FROM t a JOIN t b ON a.doc_id = b.doc_id AND a.turn < b.turn),
+s AS (SELECT doc_id, CAST(a_no AS INT) AS a_no, CAST(b_no AS INT) AS b_no, own, 0.6 * cj + 0.3 * pj + 0.1 * tj AS score FROM p)"""
+
+
+@query(f"WITH {_TURNS} SELECT doc_id, a_no, b_no, score FROM s WHERE score >= 0.8")
 def dup_char_jaccard(spark, d):
     return similar.pairs(_turns(spark, d), ratio=False)
 
 
+@query(f"WITH {_TURNS} SELECT doc_id, b_no AS chunk_no, a_no AS other_no, score, CAST(row_number() OVER (PARTITION BY doc_id, b_no ORDER BY round(score, 12) DESC, a_no) AS INT) AS rank FROM s WHERE own AND score >= 0.64")
+def dup_near(spark, d):
+    return similar.near(_turns(spark, d), ratio=False)
+
+
+@query(f"""WITH {_TURNS}, x AS (SELECT doc_id, turn AS chunk_no, role AS field_name, split_part(text, ' ', 1) AS value, length(text) % 7 / 10 AS confidence FROM t),
+l AS (SELECT doc_id, turn AS chunk_no, turn AS other_no FROM t WHERE first_no = turn UNION ALL SELECT doc_id, b_no, a_no FROM s WHERE own AND score >= 0.8)
+SELECT doc_id, CAST(l.chunk_no AS INT) AS chunk_no, field_name, count(DISTINCT value) AS n_values, max(confidence) AS confidence FROM l JOIN (SELECT doc_id, chunk_no AS other_no, field_name, value, confidence FROM x) y USING (doc_id, other_no) GROUP BY ALL""")
+def merged_extractions(spark, d):
+    """First words of turns as values, taken over between similar turns: how many a field has, and the surest."""
+    turns = _turns(spark, d)
+    value = F.substring_index("content", " ", 1)
+    spans = turns.select("doc_id", "chunk_no", F.col("chapter_path")[0].alias("field_name"), value.alias("value"), F.lit(0).alias("start"), F.length(value).alias("end"), (F.length("content") % 7 / 10).alias("confidence"), F.lit(0).alias("ord"))
+    out = similar.merged_extractions(spans, turns, ratio=False)
+    return out.groupBy("doc_id", "chunk_no", "field_name").agg(F.count_distinct("value").alias("n_values"), F.max("confidence").alias("confidence"))
+
+
 @query()
 def dup_indel(spark, d):
     return similar.dedupe(_turns(spark, d))
 
 
-@query()
+@query(f"""WITH {_TURNS}, b AS (SELECT doc_id, b_no AS turn, max(score) AS best FROM s WHERE score >= 0.8 GROUP BY ALL),
+r AS (SELECT doc_id, first_no < turn AS copy, best, CASE WHEN first_no < turn THEN 1.0 ELSE coalesce(best, 0.0) END AS x FROM t LEFT JOIN b USING (doc_id, turn))
+SELECT doc_id, count(*) AS total_chunks, count(*) FILTER (copy OR best IS NOT NULL) AS duplicates, count(*) FILTER (NOT copy AND best IS NULL) AS unique_chunks,
+count(*) FILTER (x >= 0.9) AS high, count(*) FILTER (x >= 0.7 AND x < 0.9) AS medium, count(*) FILTER (x < 0.7) AS low, avg(x) AS avg_similarity FROM r GROUP BY doc_id""")
 def dedupe_stats(spark, d):
     return similar.stats(similar.dedupe(_turns(spark, d), ratio=False))
 
 
+@query()
+def lsh_query(spark, d):
+    """Texts near every document whose id is divisible by 100."""
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    return similar.lsh_query(docs.where("doc_id % 100 = 0"), docs, "doc_id", "text")
+
+
 @query()
 def minhash_candidates(spark, d):
     return similar.minhash_candidates(spark.read.parquet(f"{d}/documents.parquet"), "doc_id", "text")

@@ -187,3 +187,40 @@ def test_minhash_candidates_against_brute_force(spark):
         recall[low] = len(pairs & got) / len(pairs)
         print(low, len(pairs), round(recall[low], 3))
     assert recall[0.5] > 0.6 and recall[0.6] > 0.85 and recall[0.7] > 0.95 and recall[0.8] > 0.99
+
+
+def test_lsh_query_against_brute_force(spark):
+    """Every text of the index that is like the asked one is found once, with its number of copies."""
+    import random
+
+    rng = random.Random(7)
+    texts = []
+    for _ in range(30):
+        base = [rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(300)]
+        for edits in (0, 0, 5, 10):
+            t = list(base)
+            for _ in range(edits):
+                t[rng.randrange(300)] = rng.choice("0123456789")
+            texts.append("".join(t))
+    df = spark.createDataFrame(list(enumerate([*texts, "", "", None])), "doc_id long, text string").repartition(3)
+    got = {(r["query"], r["first"]): (r["copies"], r["estimate"]) for r in similar.lsh_query(df.where("doc_id % 4 = 0 or doc_id = 121"), df, "doc_id", "text").collect()}
+    sets = [{t[i : i + 3] for i in range(len(t) - 2)} for t in texts]
+    for q in range(0, len(texts), 4):
+        near = {j for j in range(len(texts)) if len(sets[q] & sets[j]) / len(sets[q] | sets[j]) >= 0.7} - {q + 1}
+        assert near <= {f for a, f in got if a == q} and got[q, q] == (2, 1.0)
+        assert all(f // 4 == q // 4 for a, f in got if a == q)
+    assert got[121, 120] == (3, 1.0)  # empty and null texts are alike
+
+
+def test_near_list_and_merged_extractions(spark):
+    bodies = ["甲乙丙丁戊己庚辛壬癸", "甲乙丙丁戊己庚辛壬癸", "甲乙丙丁戊己庚辛壬子", "甲乙丙丁戊己庚丑寅卯", "东西南北春夏秋冬上下"]
+    chunks = spark.createDataFrame([(1, i, c, ["章"], 2, c) for i, c in enumerate(bodies)], "doc_id long, chunk_no int, content string, chapter_path array<string>, token_count int, fingerprint string")
+    near = [(r["chunk_no"], r["other_no"], r["rank"]) for r in similar.near(chunks).orderBy("chunk_no", "rank").collect()]
+    assert near == [(2, 0, 1), (2, 1, 2), (3, 0, 1), (3, 1, 2), (3, 2, 3)]  # an exact copy has no list of its own
+    rows = [(1, 0, "f", "a", 0, 1, 0.9, 0), (1, 0, "f", "b", 2, 3, 0.5, 1), (1, 1, "f", "z", 0, 1, 0.9, 0), (1, 2, "f", "a", 0, 1, 0.3, 0), (1, 2, "g", "c", 0, 1, 0.4, 0), (1, 4, "f", "d", 0, 1, 0.2, 0)]
+    spans = spark.createDataFrame(rows, "doc_id long, chunk_no int, field_name string, value string, start int, end int, confidence double, ord int")
+    got = [(r["chunk_no"], r["field_name"], r["ord"], r["value"], r["confidence"]) for r in similar.merged_extractions(spans, chunks).orderBy("chunk_no", "field_name", "ord").collect()]
+    assert [x for x in got if x[0] == 0] == [(0, "f", 0, "a", 0.9), (0, "f", 1, "b", 0.5)]
+    assert not [x for x in got if x[0] == 1]
+    assert [x for x in got if x[0] == 2] == [(2, "f", 0, "z", 0.9), (2, "f", 1, "b", 0.5), (2, "f", 2, "a", 0.3), (2, "g", 0, "c", 0.4)]
+    assert [x for x in got if x[0] == 4] == [(4, "f", 0, "d", 0.2)]
