@@ -57,6 +57,24 @@ def pages(spans: DataFrame, page_texts: DataFrame) -> DataFrame:
     return found.groupBy("doc_id", "field_name", "ord").agg(F.min_by("page", F.struct(-F.length("key"), F.col("page"))).alias("page"))
 
 
+def boxes(spans: DataFrame, lines: DataFrame) -> DataFrame:
+    """doc_id, field_name, ord, page, x0, y0, x1, y1, page_width, page_height: where a span's value stands on its page.
+
+    ``spans`` have a page; ``lines`` are those of ``sources.pdf.lines``. The value is looked for, else the source
+    text, else the normalised value (one line of up to 160 characters, letter case aside); the first place counts.
+    Spans that are on no single line have no row.
+    """
+    wanted = F.transform(F.array("value", "source_text", "normalized_value"), lambda x: F.lower(text.utrim(F.coalesce(x, F.lit("")))))
+    usable = F.filter(wanted, lambda k: (k != "") & ~k.contains("\n") & (F.length(k) <= 160))
+    keys = spans.select("doc_id", "field_name", "ord", "page", F.posexplode(usable).alias("_rank", "_key"))
+    body = lines.withColumn("_text", F.lower("text")).where(F.length("_text") == F.length("text"))
+    found = keys.join(body, ["doc_id", "page"]).withColumn("_at", F.position("_key", "_text")).where("_at > 0")
+    edge = lambda i: F.round(F.element_at("xs", i), 3)
+    place = F.struct(edge(F.col("_at")).alias("x0"), F.round("y0", 3).alias("y0"), edge(F.col("_at") + F.length("_key")).alias("x1"), F.round("y1", 3).alias("y1"), F.round("page_width", 3).alias("page_width"), F.round("page_height", 3).alias("page_height"))
+    best = found.groupBy("doc_id", "field_name", "ord", "page").agg(F.min_by(place, F.struct("_rank", "block_no", "_at")).alias("_box"))
+    return best.select("doc_id", "field_name", "ord", "page", "_box.*")
+
+
 def box_overlaps(a: list[Column], b: list[Column]) -> Column:
     """Whether two boxes (x0, y0, x1, y1) have an area in common."""
     return (a[0] < b[2]) & (b[0] < a[2]) & (a[1] < b[3]) & (b[1] < a[3])

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import zipfile
+import zlib
 from xml.sax.saxutils import escape
 
 import pandas as pd
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from bidlens.functions import dates, money, text
 from bidlens.operators import consolidate, evaluation, evidence, extract, keywords, packages, people, privacy, review, route, rules, similar, structure
 from bidlens.plans.corpus import CHECKED, CORPUS, corpus, facts, to_spark, view
-from bidlens.sources import docx
+from bidlens.sources import docx, pdf
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -396,6 +397,52 @@ def _docx_files(key: pd.Series, name: pd.Series, segment: pd.Series, nation: pd.
     return pd.Series([one(*x) for x in zip(key, name, segment, nation, strict=True)], dtype="object")
 
 
+def _pdf_file(parts: list[tuple[int, int, str, bool]], width: int = 600, height: int = 800) -> bytes:
+    """A PDF of lines (page, size, text, bold): UTF-16 codes of a font without widths, 30 points apart."""
+    fonts = "".join(f"<< /Type /Font /Subtype /Type0 /BaseFont /{n} /Encoding /UniGB-UTF16-H /DescendantFonts [<< /Type /Font /Subtype /CIDFontType0 /BaseFont /{n} /DW 500 >>] >>\n" for n in ("Song", "Song-Bold")).splitlines()
+    objects = {1: "<< /Type /Catalog /Pages 2 0 R >>", 3: fonts[0], 4: fonts[1]}
+    numbers = sorted({p for p, *_ in parts})
+    for k, page in enumerate(numbers):
+        show = [f"BT /{'B' if bold else 'R'} {size} Tf 50 {height - 50 - 30 * i} Td <{t.encode('utf-16-be').hex()}> Tj ET" for i, (_, size, t, bold) in enumerate(x for x in parts if x[0] == page)]
+        packed = zlib.compress("\n".join(show).encode())
+        objects[5 + 2 * k] = "<< /Type /Page /Parent 2 0 R /Contents " + f"{6 + 2 * k} 0 R >>"
+        objects[6 + 2 * k] = f"<< /Length {len(packed)} /Filter /FlateDecode >>\nstream\n".encode() + packed + b"\nendstream"
+    kids = " ".join(f"{5 + 2 * k} 0 R" for k in range(len(numbers)))
+    objects[2] = f"<< /Type /Pages /Kids [{kids}] /Count {len(numbers)} /MediaBox [0 0 {width} {height}] /Resources << /Font << /R 3 0 R /B 4 0 R >> >> >>"
+    body = b"".join(f"{n} 0 obj\n".encode() + (o if isinstance(o, bytes) else o.encode()) + b"\nendobj\n" for n, o in sorted(objects.items()))
+    return b"%PDF-1.7\n" + body + b"trailer\n<< /Root 1 0 R >>\n%%EOF\n"
+
+
+def _customer_pdf(key, name, segment) -> bytes:
+    return _pdf_file([(1, 18, str(name), True), (1, 10, f"项目编号：{key}", False), (2, 10, f"行业：{segment}", False), (2, 12, "附件", True)])
+
+
+@query("""SELECT c_custkey AS doc_id, '# ' || c_name || chr(10) || '项目编号：' || c_custkey || chr(10) || chr(10) || '行业：' || c_mktsegment || chr(10) || '#### 附件' AS content, CAST(2 AS INT) AS total_pages FROM customer""")
+def pdf_markdown(spark, d):
+    """A PDF file of each customer (two pages, headings by size and weight), read back."""
+    view(spark, d, "customer")
+    read = F.pandas_udf(lambda *x: pd.DataFrame([pdf.markdown(_customer_pdf(*r)) for r in zip(*x, strict=True)], columns=["content", "total_pages"]), "content string, total_pages int")
+    return spark.table("customer").select(F.col("c_custkey").alias("doc_id"), read("c_custkey", "c_name", "c_mktsegment").alias("x")).select("doc_id", "x.*")
+
+
+@query("""SELECT c_custkey AS doc_id, CAST(2 AS INT) AS page, 65.0 AS x0, 40.0 AS y0, 65.0 + 5 * length(c_mktsegment) AS x1, 52.0 AS y1 FROM customer""")
+def evidence_box(spark, d):
+    """The page of each customer's segment in those files, and its box there."""
+    view(spark, d, "customer")
+
+    def lines(batches):
+        for b in batches:
+            rows = [(k, p, i, t, bold, size, xs, y0, y1, w, h) for k, n, s in zip(b["c_custkey"], b["c_name"], b["c_mktsegment"], strict=True) for p, (w, h, found) in enumerate(pdf.read(_customer_pdf(k, n, s)), 1) for i, (t, xs, y0, y1, size, bold) in enumerate(found)]
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in pdf.LINES.split(", ")])
+
+    customers = spark.table("customer").select("c_custkey", "c_name", "c_mktsegment")
+    placed = customers.mapInPandas(lines, pdf.LINES.replace("doc_id string", "doc_id long"))
+    none = F.lit(None).cast("string")
+    spans = customers.select(F.col("c_custkey").cast("long").alias("doc_id"), F.lit("segment").alias("field_name"), F.lit(0).alias("ord"), none.alias("source_text"), F.concat(F.lit("行业："), "c_mktsegment").alias("ref"), F.col("c_mktsegment").alias("value"), none.alias("normalized_value"))
+    paged = spans.join(evidence.pages(spans, pdf.page_texts(placed)), ["doc_id", "field_name", "ord"])
+    return evidence.boxes(paged, placed).select("doc_id", "page", "x0", "y0", "x1", "y1")
+
+
 _PKG = """SELECT 'P' || CAST(o_custkey AS VARCHAR(20)) AS package_id, 'D' || lpad(CAST(o_orderkey AS VARCHAR(20)), 9, '0') AS id,
  CASE o_orderkey % 6 WHEN 0 THEN 'tender' WHEN 1 THEN 'amendment' WHEN 2 THEN 'clarification' WHEN 3 THEN 'bid' WHEN 4 THEN 'attachment' ELSE 'other' END AS role,
  CASE WHEN o_orderkey % 6 = 3 OR o_orderkey % 12 = 4 THEN 'B' || CAST(o_orderkey % 2 AS VARCHAR(20)) END AS bidder,

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bidlens.functions import text as T
-from bidlens.sources import docx
+from bidlens.sources import docx, pdf
 
 TEXT, MARKDOWN = ("txt",), ("md", "markdown")
 DOCUMENTS = "doc_id string, filename string, original_format string, content string, total_pages int, file_size long, error string"
@@ -22,7 +22,7 @@ DOCUMENTS = "doc_id string, filename string, original_format string, content str
 
 def capabilities() -> dict[str, bool]:
     """Formats that can be read here without a reader of the caller's."""
-    return {"txt": True, "md": True, "markdown": True, "pdf": False, "docx": True}
+    return {"txt": True, "md": True, "markdown": True, "pdf": True, "docx": True}
 
 
 def supported() -> set[str]:
@@ -33,13 +33,13 @@ def can_parse(path: str) -> bool:
     return "." + path.rsplit(".", 1)[-1].lower() in supported()
 
 
-def documents(spark: SparkSession, path: str, pattern: str = "*", readers: dict[str, Callable[[bytes], str]] | None = None) -> DataFrame:
+def documents(spark: SparkSession, path: str, pattern: str = "*", readers: dict[str, Callable[[bytes], str | tuple[str, int]]] | None = None) -> DataFrame:
     """DOCUMENTS for the files of a folder (not of folders in it) or one file.
 
     ``pattern`` ``*`` keeps supported suffixes only. ``readers``: suffix to a function from bytes to
-    text, for formats that need one (pages of a PDF, recognised scans) or to replace the one for DOCX.
+    text, or text and number of pages, for other formats or to replace those for DOCX and PDF (to recognise scans).
     """
-    readers = {"docx": docx.markdown} | (readers or {})
+    readers = {"docx": docx.markdown, "pdf": pdf.markdown} | (readers or {})
     known = set(capabilities()) | set(readers)
     raw = spark.read.format("binaryFile").option("pathGlobFilter", "*" if pattern in ("*", "*.*") else pattern).load(path)
     raw = raw.select("path", "length", "content").withColumn("suffix", F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)))
@@ -54,13 +54,15 @@ def documents(spark: SparkSession, path: str, pattern: str = "*", readers: dict[
             rows = []
             for n, s, size, body in zip(b["name"], b["suffix"], b["length"], b["content"], strict=True):
                 try:
-                    rows.append((n, n, s, readers[s](bytes(body)), 0, size, None) if s in readers else (n, n, s, None, 0, size, f"no reader for .{s}"))
+                    got = readers[s](bytes(body)) if s in readers else None
+                    content, pages = got if isinstance(got, tuple) else (got, 0)
+                    rows.append((n, n, s, content, pages, size, None if s in readers else f"no reader for .{s}"))
                 except Exception as e:  # noqa: BLE001  a broken file is a row with its error
                     rows.append((n, n, s, None, 0, size, str(e)))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in DOCUMENTS.split(", ")])
 
     others = raw.where(~plain).select(name.alias("name"), "suffix", "length", "content").mapInPandas(parse, DOCUMENTS)
-    return texts.unionByName(others)
+    return texts.unionByName(others.withColumn("content", F.when(F.col("original_format") == "pdf", clean_pdf(F.col("content"))).otherwise(F.col("content"))))
 
 
 def scanned_page(characters, image_share):
@@ -71,7 +73,9 @@ def scanned_page(characters, image_share):
 def blocks_to_markdown(spans: DataFrame) -> DataFrame:
     """doc_id, page, block_no, line of text spans (text, bold, size): headings by size where bold."""
     c, bold, size = T.utrim(F.col("text")), F.col("bold"), F.col("size")
-    line = F.when(bold & (size >= 18), F.concat(F.lit("# "), c)).when(bold & (size >= 15), F.concat(F.lit("## "), c)).when(bold & (size >= 13), F.concat(F.lit("### "), c)).when(bold & (F.length(c) < 50), F.concat(F.lit("#### "), c)).otherwise(c)
+    line = F.when(bold & (F.length(c) < 50), F.concat(F.lit("#### "), c)).otherwise(c)
+    for least, marks in reversed(pdf.HEADING_SIZES):
+        line = F.when(bold & (size >= least), F.concat(F.lit(marks), c)).otherwise(line)
     return spans.where(c != "").select("doc_id", "page", "block_no", line.alias("line"))
 
 

@@ -3,12 +3,15 @@
 import io
 import json
 import zipfile
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
 
 from bidlens import cli
-from bidlens.sources import docx, files, providers, sinks
+from bidlens.operators import evidence
+from bidlens.plans.queries import _pdf_file
+from bidlens.sources import docx, files, pdf, providers, sinks
 from bidlens.streaming import incremental
 
 TENDER = "# 文件\n\n## 信息\n项目编号：AB-2024-01\n投标报价：1,234,567.00元\n"
@@ -132,3 +135,50 @@ def test_snapshot(spark, tmp_path):
     q = spark.createDataFrame([("i", "d", "f")], "id string, document string, field_name string")
     name = sinks.write_snapshot(q, str(tmp_path))
     assert files.review_queue(spark, name).first()["id"] == "i"
+
+
+def test_pdf_pages_and_boxes(spark, tmp_path):
+    (tmp_path / "a.pdf").write_bytes(_pdf_file([(1, 18, "招标公告", True), (1, 10, "Page 1 of 2", False), (2, 10, "投标报价：1234.00元", False), (2, 10, "𠀀 end", False)]))
+    (tmp_path / "b.PDF").write_bytes(b"%PDF-1.4 nothing")
+    got = {r["filename"]: r for r in files.documents(spark, str(tmp_path)).collect()}
+    assert got["a.pdf"]["content"] == "# 招标公告\n\n\n投标报价：1234.00元\n𠀀 end" and got["a.pdf"]["total_pages"] == 2
+    assert got["b.PDF"]["content"] is None and got["b.PDF"]["error"]
+    lines = pdf.lines(spark, str(tmp_path))
+    assert lines.count() == 4 and pdf.page_texts(lines).where("page = 2").first()["text"] == "投标报价：1234.00元\n𠀀 end"
+    spans = spark.createDataFrame([("a.pdf", "f", 0, 2, "1234.00元", None, None), ("a.pdf", "g", 0, 1, "x", None, None)], "doc_id string, field_name string, ord int, page int, value string, source_text string, normalized_value string")
+    boxes = evidence.boxes(spans, lines).collect()
+    assert [tuple(b) for b in boxes] == [("a.pdf", "f", 0, 2, 75.0, 40.0, 115.0, 52.0, 600.0, 800.0)]
+
+
+def raw_pdf(*objects, trailer="<< /Root 1 0 R >>"):
+    return b"%PDF-1.5\n" + b"".join(b"%d 0 obj\n%s\nendobj\n" % (n, o if isinstance(o, bytes) else o.encode()) for n, o in objects) + f"trailer {trailer}\n".encode()
+
+
+def stream(body, head=""):
+    body = body if isinstance(body, bytes) else body.encode("latin-1")
+    return f"<< /Length {len(body)} {head} >>\nstream\n".encode() + body + b"\nendstream"
+
+
+def test_pdf_operators_and_fonts():
+    cmap = "1 begincodespacerange <00> <ff> endcodespacerange 1 beginbfchar <41> <62db> endbfchar 2 beginbfrange <42> <43> <6807> <44> <45> [<0031> <00320033>] endbfrange"
+    text = r"BT /F 10 Tf 12 TL 10 700 Td (ab(c\)\051\101)) Tj T* [(x) -50 (y) -400 (z)] TJ (next) ' /T 10 Tf 0 -20 Td (ABCDE) Tj ET q 2 0 0 2 0 0 cm BT /D 10 Tf 5 100 Td <0102> Tj ET Q BT bad Tj /F Tf ET BI /W 1 ID \x01(\x02 EI /X Do"
+    form = "BT /F 10 Tf 10 20 Td (form) Tj ET /X Do"
+    packed = "7 0 8 26 " + "<< /Type /Font /X /Y >>   " + "<< /Type /Font /Subtype /Type1 /Encoding << /Differences [1 /uni4E2D /percent] >> >>"
+    first = packed.index("<<")
+    objects = [
+        (1, "<< /Type /Catalog /Pages 2 0 R >>"), (2, "<< /Type /Pages /Kids [3 0 R 2 0 R 3 0 R] /MediaBox [0 0 100 800] >>"),
+        (3, "<< /Type /Page /Contents [4 0 R] /Resources << /Font << /F 5 0 R /T 6 0 R /D 8 0 R >> /XObject << /X 10 0 R >> >> >>"),
+        (4, stream(zlib.compress(text.encode("latin-1")), "/Filter [/FlateDecode]")), (5, "<< /Type /Font /Subtype /Type1 /BaseFont /Helvetica-Bold >>"),
+        (6, "<< /Type /Font /Subtype /Type1 /ToUnicode 9 0 R >>"), (9, stream(cmap)), (10, stream(form, "/Type /XObject /Subtype /Form /Matrix [1 0 0 1 0 0]")),
+        (11, stream(zlib.compress(packed.encode()), f"/Type /ObjStm /N 2 /First {first} /Filter /FlateDecode")),
+        (12, stream(b"99 0 obj (not one) endobj")),
+    ]
+    pages = pdf.read(raw_pdf(*objects))
+    assert len(pages) == 1  # a page tree that names itself or a page twice gives each page once
+    assert [x[0] for x in pages[0][2]] == ["ab(c))A)", "xy z", "next", "招标" + chr(0x6808) + "123", "中%", "form"]
+    assert [x[5] for x in pages[0][2]] == [True, True, True, False, False, True] and pages[0][2][4][4] == 20
+    with pytest.raises(ValueError, match="encrypted"):
+        pdf.read(raw_pdf(*objects, trailer="<< /Root 1 0 R /Encrypt 5 0 R >>"))
+    for broken in (b"", b"%PDF-", raw_pdf(objects[0]), raw_pdf(objects[0], (2, "<< /Type /Catalog"))):
+        with pytest.raises(ValueError):
+            pdf.read(broken)
