@@ -302,8 +302,9 @@ def dup_near(spark, d):
 
 
 @query(f"""WITH {_TURNS}, x AS (SELECT doc_id, turn AS chunk_no, role AS field_name, split_part(text, ' ', 1) AS value, length(text) % 7 / 10 AS confidence FROM t),
-l AS (SELECT doc_id, turn AS chunk_no, turn AS other_no FROM t WHERE first_no = turn UNION ALL SELECT doc_id, b_no, a_no FROM s WHERE own AND score >= 0.8)
-SELECT doc_id, CAST(l.chunk_no AS INT) AS chunk_no, field_name, count(DISTINCT value) AS n_values, max(confidence) AS confidence FROM l JOIN (SELECT doc_id, chunk_no AS other_no, field_name, value, confidence FROM x) y USING (doc_id, other_no) GROUP BY ALL""")
+l AS (SELECT doc_id, turn AS chunk_no, turn AS other_no, 2.0 AS near FROM t WHERE first_no = turn UNION ALL SELECT doc_id, b_no, a_no, round(score, 12) FROM s WHERE own AND score >= 0.8),
+v AS (SELECT doc_id, l.chunk_no, field_name, value, first(confidence ORDER BY near DESC, other_no) AS confidence FROM l JOIN (SELECT doc_id, chunk_no AS other_no, field_name, value, confidence FROM x) y USING (doc_id, other_no) GROUP BY ALL)
+SELECT doc_id, CAST(chunk_no AS INT) AS chunk_no, field_name, count(*) AS n_values, max(confidence) AS confidence FROM v GROUP BY ALL""")
 def merged_extractions(spark, d):
     """First words of turns as values, taken over between similar turns: how many a field has, and the surest."""
     turns = _turns(spark, d)
