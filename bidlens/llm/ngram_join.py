@@ -46,6 +46,10 @@ BLOCK_ENTRIES = 1_000_000
 FREQUENT_MEANS, FREQUENT = 1.5, 24
 #: Nodes and bytes of n-grams on each side of a block of the product over frequent n-grams, and n-grams in one step of it.
 SIDE, SIDE_BYTES, STEP = 2048, 16 << 20, 2048
+#: Bits of a table that tells wanted rows from most others.
+TABLE_BITS = 1 << 26
+#: So many edges at most (24 MB) go through one task for their components.
+EDGES = 1_500_000
 
 _K = [np.uint64(x) for x in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
 
@@ -421,21 +425,62 @@ def frequent_pairs(nodes: DataFrame, comps: DataFrame) -> DataFrame:
     return df.repartition("label", "i", "j").sortWithinPartitions("label", "i", "j").mapInArrow(run, "a long, b long, weight long")
 
 
+def bit_table(values: DataFrame) -> bytes:
+    """TABLE_BITS bits, compressed; those at the longs in the only column of ``values`` (modulo TABLE_BITS) are set.
+
+    Tasks send places, 32 tasks make tables of them and one joins these, so no task holds more than two tables.
+    """
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                at = np.unique(batch.column(0).to_numpy(zero_copy_only=False) % TABLE_BITS).astype(np.uint32)
+                yield pa.RecordBatch.from_arrays([pa.array([at.tobytes()])], names=["x"])
+
+    def joined(batches: Iterator[pa.RecordBatch], whole: bool) -> Iterator[pa.RecordBatch]:
+        table = None
+        for batch in batches:
+            for x in batch.column(0):
+                table = np.zeros(TABLE_BITS // 8, np.uint8) if table is None else table
+                if whole:
+                    table |= np.frombuffer(zlib.decompress(x.as_buffer()), np.uint8)
+                else:
+                    at = np.frombuffer(x.as_buffer(), np.uint32)
+                    np.bitwise_or.at(table, at >> np.uint32(3), np.uint8(1) << (at & np.uint32(7)).astype(np.uint8))
+        if table is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(table.tobytes(), 1)])], names=["x"])
+
+    rows = values.mapInArrow(places, "x binary")
+    for tasks, whole in ((32, False), (1, True)):
+        rows = rows.repartition(tasks).mapInArrow(lambda b, whole=whole: joined(b, whole), "x binary")
+    got = rows.collect()
+    return bytes(got[0][0]) if got else b""
+
+
+def unpacked_table(packed: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(packed), np.uint8) if packed else np.zeros(TABLE_BITS // 8, np.uint8)
+
+
+def in_table(df: DataFrame, packed: bytes, value: Column) -> Column:
+    """Is the bit of ``value`` (a long, not null) set in ``bit_table``'s result? A column of ``df``; few other values share a bit with wanted ones."""
+    shared = df.sparkSession.sparkContext.broadcast(packed)
+
+    def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        on = unpacked_table(shared.value)
+        for x in parts:
+            at = x.to_numpy(zero_copy_only=False) % TABLE_BITS
+            yield pa.array((on[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool))
+
+    return F.arrow_udf(run, "boolean")(value)
+
+
 def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """sig, items: the whole sets of the wanted nodes. A bit table of fixed size passes them and few others."""
-    bits = 1 << 26
-    slots = wanted.select((F.pmod(F.col("sig"), F.lit(bits)) / 8).cast("int").alias("byte"), F.expr(f"1 << cast(pmod(sig, {bits}) % 8 as int)").alias("bit"))
-    # the table is sent in rows of 1024 bytes, 8 MB in all at most
-    packed = slots.groupBy("byte").agg(F.bit_or("bit").alias("v")).select((F.col("byte") / 1024).cast("int").alias("row"), F.col("byte"), F.col("v"))
-    packed = packed.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("byte", "v"))).alias("x"))
-    table = np.zeros(bits // 8, np.uint8)
-    for r in packed.toLocalIterator():
-        got = np.array([(b, v) for b, v in r["x"]], np.int64)
-        table[got[:, 0]] = got[:, 1]
-    shared = docs.sparkSession.sparkContext.broadcast(table)
+    bits = TABLE_BITS
+    shared = docs.sparkSession.sparkContext.broadcast(bit_table(wanted.select("sig")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        on = shared.value
+        on = unpacked_table(shared.value)
         seen: set[int] = set()
         for batch in batches:
             for _, _, d, o in chunks(*column_bytes(batch.column(0))):
@@ -474,13 +519,42 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         return written(two.mapInArrow(run, "a long, b long"), "verified")
 
 
+def least_nodes(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All nodes of the edges (u, v), and for each the smallest node of its component: roots hook onto smaller ones, then paths are cut short."""
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    i, j = at[: len(u)], at[len(u) :]
+    root = np.arange(len(nodes))
+    while True:
+        a, b = root[i], root[j]
+        apart = a != b
+        if not apart.any():
+            return nodes, nodes[root]
+        i, j, a, b = i[apart], j[apart], a[apart], b[apart]
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while not np.array_equal(up := root[root], root):
+            root = up
+
+
 def components(edges: DataFrame) -> DataFrame:
     """sig, comp: for every node of an edge the smallest node of its component.
 
-    Labels fall to the least among neighbours and then jump to their label's label, until none changes.
+    Up to EDGES edges go through one task. Of more, labels fall to the least among neighbours and then
+    jump to their label's label, until none changes; such rounds take many jobs each.
     """
-    both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select("b", "a")).where("u <> v").distinct()
-    both = written(both, "edges")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [[c.to_numpy(zero_copy_only=False) for c in b.columns] for b in batches if b.num_rows]
+        if parts:
+            found = least_nodes(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], names=["sig", "comp"])
+
+    once = edges.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).where("u <> v").distinct()
+    once = written(once, "edges")
+    if once.count() <= EDGES:
+        out = written(once.coalesce(1).mapInArrow(run, "sig long, comp long"), "labels")
+        remove(once)
+        return out
+    both = once.union(once.select("v", "u"))
     labels = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("l")), "labels")
     old = None
     while True:
@@ -493,7 +567,7 @@ def components(edges: DataFrame) -> DataFrame:
         old, labels = new, new.select("u", "l")
         if not new.where("moved").limit(1).count():
             break
-    remove(both)
+    remove(once)
     return labels.select(F.col("u").alias("sig"), F.col("l").alias("comp"))
 
 

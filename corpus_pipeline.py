@@ -50,12 +50,15 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     stays = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("key") == F.col("least"))
     odd = written(rows.join(least, "group").where(~stays | (F.col("n") > 1)).select(F.col("doc_id").alias("id_of"), F.col("key").alias("text_of"), stays.alias("stays")), "odd")
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("id_of")) & (whole == F.col("text_of"))
-    rest = docs.join(odd, same, "left_anti")
+    # only rows that may be meant go through a join, so that most texts are not dealt out
+    meant = ngram_join.in_table(docs, ngram_join.bit_table(odd.select(F.xxhash64("id_of", "text_of"))), F.xxhash64(F.col("doc_id").cast("long"), whole))
+    some = docs.where(meant)
+    rest = docs.where(~meant).union(some.join(odd, same, "left_anti"))
     many = odd.where("stays")
     if not many.limit(1).count():
         return rest
     key = free_name(docs, "text_key")
-    once = docs.join(many, same, "left_semi").withColumn(key, whole).dropDuplicates(["doc_id", key]).drop(key)
+    once = some.join(many, same, "left_semi").withColumn(key, whole).dropDuplicates(["doc_id", key]).drop(key)
     return rest.unionByName(once)
 
 

@@ -109,6 +109,52 @@ def test_join_beyond_the_pairs_formed_first(spark):
     assert got == {1: (100, 1), 2: (120, 1)} | {i: (110, i) for i, _ in rows[2:]}
 
 
+def jobs_of(spark, f):
+    """The jobs that f starts, and the bytes that their stages write to shuffles."""
+    sc, group = spark.sparkContext, f"jobs-{random.random()}"
+    sc.setJobGroup(group, group)
+    try:
+        f()
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        sc.setLocalProperty("spark.job.description", None)
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    jobs = sc.statusTracker().getJobIdsForGroup(group)
+    stages = {x for j in jobs for x in sc.statusTracker().getJobInfo(j).stageIds}
+    return len(jobs), sum(sc._jsc.sc().statusStore().lastStageAttempt(x).shuffleWriteBytes() for x in stages)
+
+
+@pytest.mark.parametrize("most", [0, 10**6])
+def test_components_in_a_task_and_in_rounds(spark, monkeypatch, most):
+    monkeypatch.setattr(ngram_join, "EDGES", most)
+    rng = random.Random(3)
+    names = [rng.randrange(-(2**63), 2**63) for _ in range(300)]
+    edges = [(names[k], names[k + 1]) for k in range(100)] + [(names[100], x) for x in names[101:150]] + [tuple(rng.sample(names[150:], 2)) for _ in range(70)]
+    edges += [(b, a) for a, b in edges[:30]] + [(names[160], names[160])]
+    near = {}
+    for a, b in edges:
+        both = near.get(a, {a}) | near.get(b, {b})
+        near |= dict.fromkeys(both, both)
+    rows = spark.createDataFrame(rng.sample(edges, len(edges)), "a long, b long").repartition(5)
+    want = {x: min(own) for x, own in near.items() if len(own) > 1}
+    assert {r["sig"]: r["comp"] for r in ngram_join.components(rows).collect()} == want
+    assert ngram_join.components(rows.limit(0)).count() == 0
+
+
+def test_join_takes_few_jobs(spark):
+    """Their number doesn't follow the number of partitions: the driver keeps plans and tasks of each."""
+    wide = {"spark.sql.shuffle.partitions": "60", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {key: spark.conf.get(key) for key in wide}
+    try:
+        for key, value in wide.items():
+            spark.conf.set(key, value)
+        jobs, _ = jobs_of(spark, lambda: queries.op8_ngram_jaccard(spark, SF))
+    finally:
+        for key, value in old.items():
+            spark.conf.set(key, value)
+    assert 0 < jobs < 90
+
+
 def test_join_of_odd_rows(spark, odd):
     got = ngram_join.jaccard_components(odd).collect()
     assert len(got) == len(ODD)
@@ -591,6 +637,26 @@ def test_pipeline_stages_on_odd_rows(spark):
         assert stage(spark, docs.limit(0), SF).count() == 0, name
 
 
+def test_pipeline_deals_out_few_texts(spark):
+    """Where ids of copies are too many to broadcast, still only texts that may go are dealt out."""
+    import corpus_pipeline
+
+    rng = random.Random(9)
+    texts = [" ".join(f"{rng.randrange(10**9)}" for _ in range(200)) for _ in range(300)]
+    rows = [(k, t) for k, t in enumerate(texts)] + [(1000 + k, texts[k]) for k in range(30)] + [(7, texts[7]), (None, texts[8])]
+    docs = corpus_pipeline.written(spark.createDataFrame(rows, "doc_id long, text string"), "test")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        out = dict(corpus_pipeline.STAGES)["ngram_jaccard"](spark, docs, SF)
+        got = []
+        _, dealt = jobs_of(spark, lambda: got.extend(out.collect()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert sorted((r["doc_id"], r["text"]) for r in got) == sorted(enumerate(texts))
+    assert dealt < 0.2 * sum(map(len, texts))
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
