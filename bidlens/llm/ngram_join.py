@@ -222,17 +222,24 @@ def incidence(docs: DataFrame, table, blocks: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "block int, sig binary, n binary, hot binary, per binary, entries binary").repartition(blocks, "block")
 
 
-def unpacked(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, ...]:
-    """All entries of the blocks in a task as (key, signature, size, frequent), sorted by key and signature, without repeats."""
-    parts: list[list[np.ndarray]] = [[], [], [], []]
+def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+    """A task's blocks one at a time, by ``sorted_entries``; those that wait stay packed."""
+    held: dict[int, list[tuple[bytes, ...]]] = {}
     for batch in batches:
-        for _, sig, n, hot, per, keys in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            per = np.frombuffer(per, np.uint32)
-            parts[0].append(np.frombuffer(keys, np.uint64))
-            for i, (x, t) in enumerate(((sig, np.uint64), (n, np.uint32), (hot, np.uint32)), 1):
-                parts[i].append(np.repeat(np.frombuffer(x, t), per))
-    if not parts[0]:
-        return tuple(np.zeros(0, t) for t in (np.uint64, np.uint64, np.uint32, np.uint32))
+        for block, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            held.setdefault(block, []).append(tuple(row))
+    while held:
+        yield sorted_entries(held.popitem()[1])
+
+
+def sorted_entries(rows: list[tuple[bytes, ...]]) -> tuple[np.ndarray, ...]:
+    """All entries of a block as (key, signature, size, frequent), sorted by key and signature, without repeats."""
+    parts: list[list[np.ndarray]] = [[], [], [], []]
+    for sig, n, hot, per, keys in rows:
+        per = np.frombuffer(per, np.uint32)
+        parts[0].append(np.frombuffer(keys, np.uint64))
+        for i, (x, t) in enumerate(((sig, np.uint64), (n, np.uint32), (hot, np.uint32)), 1):
+            parts[i].append(np.repeat(np.frombuffer(x, t), per))
     key, sig, n, hot = (np.concatenate(p) for p in parts)
     # entries whose key stands alone cannot pair; they go before the full sort
     order = np.argsort(key)
@@ -290,10 +297,7 @@ PAIR = "a long, b long, na long, nb long, ha long, hb long, c long, f long"
 def pair_counts(blocks: DataFrame) -> DataFrame:
     """Overlap counts of pairs of nodes within each block: c over entries that are not frequent, f over frequent ones."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, sig, n, hot = unpacked(batches)
-        if not len(key):
-            return
+    def counted(key: np.ndarray, sig: np.ndarray, n: np.ndarray, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
         def flush() -> Iterator[pa.RecordBatch]:
@@ -321,6 +325,11 @@ def pair_counts(blocks: DataFrame) -> DataFrame:
         if held:
             yield from flush()
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for entries in unpacked(batches):
+            if len(entries[0]):
+                yield from counted(*entries)
+
     return blocks.mapInArrow(run, PAIR)
 
 

@@ -7,6 +7,7 @@ import random
 import re
 import struct
 import time
+import tracemalloc
 import zlib
 
 import duckdb
@@ -124,6 +125,41 @@ def jobs_of(spark, f):
     return len(jobs), sum(sc._jsc.sc().statusStore().lastStageAttempt(x).shuffleWriteBytes() for x in stages)
 
 
+def packed_blocks(blocks: int, nodes: int, each: int) -> list[pa.RecordBatch]:
+    """Rows as ``incidence`` makes them: in each of the blocks ``nodes`` nodes of ``each`` entries; neighbours share one."""
+    rows = []
+    for b in range(blocks):
+        keys = (np.arange(nodes * each, dtype=np.uint64) + np.uint64(b << 32)).reshape(nodes, each)
+        keys[1::2, 0] = keys[::2, 0]
+        sig, n, hot = np.arange(nodes, dtype=np.uint64), np.full(nodes, 5 * each, np.uint32), np.zeros(nodes, np.uint32)
+        rows.append((b, sig.tobytes(), n.tobytes(), hot.tobytes(), np.full(nodes, each, np.uint32).tobytes(), keys.tobytes()))
+    # rows of a block come in several batches, between those of others
+    half = lambda r, x: (r[0], *(v[: len(v) // 2] if x == 0 else v[len(v) // 2 :] for v in r[1:]))
+    kinds, names = [pa.int32(), *[pa.binary()] * 5], ["block", "sig", "n", "hot", "per", "entries"]
+    return [pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(half(r, x), kinds, strict=True)], names=names) for x in (0, 1) for r in rows]
+
+
+def test_blocks_of_a_task_are_unpacked_one_at_a_time():
+    class Blocks:
+        def mapInArrow(self, run, schema):
+            return run
+
+    peaks = []
+    for blocks in (1, 8):
+        batches = packed_blocks(blocks, 2000, 50)
+        tracemalloc.start()
+        got = [tuple(r.values()) for b in ngram_join.pair_counts(Blocks())(iter(batches)) for r in b.to_pylist()]
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        counts = {}
+        for a, b, *_, c, f in got:
+            counts[a, b] = counts.get((a, b), 0) + c + f
+        assert counts == {(i, i + 1): blocks for i in range(0, 2000, 2)}
+    # the other seven blocks wait as they came
+    waiting = 7 * sum(c.nbytes for b in packed_blocks(1, 2000, 50) for c in b.columns)
+    assert peaks[1] < peaks[0] + 2 * waiting, peaks
+
+
 @pytest.mark.parametrize("most", [0, 10**6])
 def test_components_in_a_task_and_in_rounds(spark, monkeypatch, most):
     monkeypatch.setattr(ngram_join, "EDGES", most)
