@@ -89,11 +89,12 @@ def dedupe(chunks: DataFrame, threshold: float = THRESHOLD, ratio: bool = True)
 def near(chunks: DataFrame, threshold: float = THRESHOLD, ratio: bool = True, loosen: float = 0.8) -> DataFrame:
     """doc_id, chunk_no, other_no, score, rank: for chunks that are no exact copy, the earlier chunks that come near it.
 
-    A candidate needs ``loosen`` times the threshold; ranks run from the highest score, equals by place.
+    A candidate needs ``loosen`` times the threshold, as decimals (0.8 of 0.8 is 0.64, which the product of doubles
+    is not); ranks run from the highest score, equals by place.
     Exact copies have no candidates of their own, but can be one.
     """
     own = exact(chunks).where("first_no = chunk_no").select("doc_id", "chunk_no")
-    found = pairs(chunks, threshold * loosen, ratio).select("doc_id", F.col("b_no").alias("chunk_no"), F.col("a_no").alias("other_no"), "score")
+    found = pairs(chunks, round(threshold * loosen, 12), ratio).select("doc_id", F.col("b_no").alias("chunk_no"), F.col("a_no").alias("other_no"), "score")
     order = W.partitionBy("doc_id", "chunk_no").orderBy(F.desc(F.round("score", 12)), "other_no")
     return found.join(own, ["doc_id", "chunk_no"], "left_semi").withColumn("rank", F.row_number().over(order))
 

@@ -224,3 +224,9 @@ def test_near_list_and_merged_extractions(spark):
     assert not [x for x in got if x[0] == 1]
     assert [x for x in got if x[0] == 2] == [(2, "f", 0, "z", 0.9), (2, "f", 1, "b", 0.5), (2, "f", 2, "a", 0.3), (2, "g", 0, "c", 0.4)]
     assert [x for x in got if x[0] == 4] == [(4, "f", 0, "d", 0.2)]
+
+
+def test_near_at_the_loosened_threshold(spark):
+    """0.6 of 0.4 characters in common, 0.3 and 0.1 make 0.64, which 0.8 of 0.8 lets in."""
+    chunks = spark.createDataFrame([(1, 0, "甲乙丙丁戊己庚", ["章"], 2, "a"), (1, 1, "甲乙丙丁辛壬癸", ["章"], 2, "b")], "doc_id long, chunk_no int, content string, chapter_path array<string>, token_count int, fingerprint string")
+    assert [(r["chunk_no"], r["other_no"], r["score"]) for r in similar.near(chunks, ratio=False).collect()] == [(1, 0, 0.64)]
