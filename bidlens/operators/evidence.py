@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bidlens.functions import text
-from bidlens.operators.structure import with_sections
+from bidlens.functions.text import WHITE
+from bidlens.operators.structure import outline, with_sections
 
 
 def located(spans: DataFrame, docs: DataFrame) -> DataFrame:
@@ -48,6 +49,41 @@ def located(spans: DataFrame, docs: DataFrame) -> DataFrame:
     return df.withColumn("section_path", F.coalesce(section, none)).drop("_heads")
 
 
+PLACE = "source_start int, source_end int, source_text string, line_start int, line_end int, section_path array<string>"
+
+
+def place_of(body: str, heads: list[dict], start: int, end: int, value: str, normalized: str | None, ref: str | None) -> tuple:
+    """PLACE: ``located`` of one span of a text with its ``outline``."""
+    inside = 0 <= start < end <= len(body)
+    v, w = value.strip(WHITE), (normalized or "").strip(WHITE)
+    for part in (v, w):
+        at = (body.find(part, start, end) if inside else body.find(part)) if part else -1
+        if at >= 0:
+            size = len(part)
+            break
+    else:
+        if inside:
+            at, size = start, end - start
+        else:
+            context = (ref or "").strip(WHITE)
+            at, size = body.find(context) if context else -1, len(context) if context else 0
+            if at >= 0:
+                for part in (v, w):
+                    i = context.find(part) if part else -1
+                    if i >= 0:
+                        at, size = at + i, len(part)
+                        break
+    if at < 0:
+        return -1, -1, None, None, None, []
+    path: list[str] = []
+    for h in heads:
+        if h["start"] > at:
+            break
+        path = h["path"]
+    line = body.count("\n", 0, at) + 1
+    return at, at + size, body[at : at + size].strip(WHITE), line, line + body.count("\n", at, at + size), path
+
+
 def pages(spans: DataFrame, page_texts: DataFrame) -> DataFrame:
     """doc_id, field_name, ord, page: the first page that holds a span's longest searchable text (three characters or more)."""
     keys = F.array_distinct(F.filter(F.transform(F.array("source_text", "ref", "value", "normalized_value"), lambda x: text.search_key(F.coalesce(x, F.lit("")))), lambda k: F.length(k) >= 3))
@@ -57,6 +93,15 @@ def pages(spans: DataFrame, page_texts: DataFrame) -> DataFrame:
     return found.groupBy("doc_id", "field_name", "ord").agg(F.min_by("page", F.struct(-F.length("key"), F.col("page"))).alias("page"))
 
 
+def page_of(texts: list[tuple[int, str]], wanted: list[str | None]) -> int | None:
+    """``pages`` of one span: the first page (page, search key of its text) with the longest of the wanted texts that is on any."""
+    for key in sorted({text.key_of(x or "") for x in wanted}, key=len, reverse=True):
+        on = [page for page, body in texts if len(key) >= 3 and key in body]
+        if on:
+            return min(on)
+    return None
+
+
 def boxes(spans: DataFrame, lines: DataFrame) -> DataFrame:
     """doc_id, field_name, ord, page, x0, y0, x1, y1, page_width, page_height: where a span's value stands on its page.
 

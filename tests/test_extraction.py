@@ -230,3 +230,55 @@ def test_near_at_the_loosened_threshold(spark):
     """0.6 of 0.4 characters in common, 0.3 and 0.1 make 0.64, which 0.8 of 0.8 lets in."""
     chunks = spark.createDataFrame([(1, 0, "甲乙丙丁戊己庚", ["章"], 2, "a"), (1, 1, "甲乙丙丁辛壬癸", ["章"], 2, "b")], "doc_id long, chunk_no int, content string, chapter_path array<string>, token_count int, fingerprint string")
     assert [(r["chunk_no"], r["other_no"], r["score"]) for r in similar.near(chunks, ratio=False).collect()] == [(1, 0, 0.64)]
+
+
+ODD = ["", None, "\n", "# 一\n## 报价\n投标报价：12,345元\n投标报价：1.234567万元 合计12元\n投标保证金：壹万贰仟元整\n## 空\n", "项目编号：AB-1234 \n采购人：（某某大学）\n开标时间：2026年3月4日 10:30\n2027年2月30日，3/4/2026 a@b.cn 0571-12345678 13800138000", "投标保证金：200,000.00元\n投标报价：99元\n法定代表人：无\n邮箱：x@y.com、z@y.com"]
+
+
+def test_one_pass_gives_what_windows_give(spark):
+    """What is folded in a document's own pass against the same by windows and joins; the pass shuffles nothing."""
+    docs = spark.createDataFrame(list(enumerate(ODD)), "doc_id long, content string")
+    spans = consolidate.dedupe(extract.spans(docs))
+
+    def place(body, rows):
+        heads = structure.outline(body or "")
+        return [(s.ord, *evidence.place_of(body, heads, s.start, s.end, s.value, s.normalized_value, s.ref)) for s in consolidate.dedupe_of(rows)]
+
+    for fold, schema, windows in [
+        (lambda body, rows: consolidate.dedupe_of(rows), extract.SPAN, spans),
+        (lambda body, rows: consolidate.fields_of(rows), consolidate.FIELD, consolidate.fields(spans)),
+        (lambda body, rows: consolidate.conflicts_of(consolidate.dedupe_of(rows)), consolidate.CONFLICTS, consolidate.conflicts(spans)),
+        (lambda body, rows: consolidate.deposit_of(consolidate.dedupe_of(rows)), consolidate.DEPOSIT, consolidate.deposit_check(spans)),
+        (lambda body, rows: consolidate.statistics_of(consolidate.fields_of(rows)), consolidate.STATISTICS, consolidate.statistics(consolidate.fields(spans))),
+        (place, f"ord int, {evidence.PLACE}", evidence.located(spans, docs)),
+    ]:
+        df = extract.folded(docs, fold, schema)
+        assert "Exchange" not in df._jdf.queryExecution().toString()
+        rows = sorted(map(str, df.collect()))
+        assert rows and rows == sorted(map(str, windows.select(df.columns).collect()))
+
+
+def test_matches_are_those_of_a_whole_scan():
+    import random
+
+    rng = random.Random(5)
+    bits = [*"0123456789,.-/ \n年月日元万@aKſ：", "万元", "2024年1月2日", "2024-01-02", "a@b.cn", "投标保证金：", "保证金：人民币", "（大写）壹佰元", "¥"]
+    for _ in range(300):
+        body = "".join(rng.choice(bits) for _ in range(60))
+        for r in extract.compiled(tuple(bank())):
+            want = [m.span() for m in r.pattern.finditer(body)]
+            assert want == [m.span() for m in extract.matches(r, body)] and (not want or all(c in body for c in r.must))
+
+
+def test_a_sum_too_long_is_no_error(spark):
+    got = fields_of(spark, "投标报价：1234567890123456789012元\n")[0]
+    assert got["bid_amount"]["normalized_value"] is None
+
+
+@pytest.mark.parametrize("name", ["field_conflicts", "field_report", "missing_context", "chunks_merged", "route_selected", "sections", "section_asof", "evidence_page", "ner_entities", "reference_paragraph"])
+def test_texts_are_not_shuffled(spark, name):
+    """After the corpus is rendered its texts stay where they are."""
+    from bidlens.plans.catalogue import QUERIES
+
+    plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "xxhash64" in plan and "Exchange" not in plan[: plan.index("xxhash64") - 200] and plan.count("xxhash64") == 1
