@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import ROUND_HALF_UP, Decimal
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -120,6 +122,17 @@ def boxes(spans: DataFrame, lines: DataFrame) -> DataFrame:
     return best.select("doc_id", "field_name", "ord", "page", "_box.*")
 
 
+def box_of(wanted: list[str | None], lines: list[tuple]) -> tuple[float, float, float, float] | None:
+    """x0, y0, x1, y1 as ``boxes`` places one span on a page's lines (text, xs, y0, y1, ...); ``wanted``: value, source text, normalised value."""
+    for key in (w.strip(WHITE).lower() for w in wanted if w):
+        for line, xs, y0, y1, *_ in lines if key and "\n" not in key and len(key) <= 160 else ():
+            body = line.lower()
+            at = body.find(key) if len(body) == len(line) else -1
+            if at >= 0:
+                return tuple(float(Decimal(repr(float(x))).quantize(Decimal("0.001"), ROUND_HALF_UP)) for x in (xs[at], y0, xs[at + len(key)], y1))
+    return None
+
+
 def box_overlaps(a: list[Column], b: list[Column]) -> Column:
     """Whether two boxes (x0, y0, x1, y1) have an area in common."""
     return (a[0] < b[2]) & (b[0] < a[2]) & (a[1] < b[3]) & (b[1] < a[3])

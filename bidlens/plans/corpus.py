@@ -77,14 +77,19 @@ def view(spark: SparkSession, sf_dir: str, *names: str) -> None:
         spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
 
 
-def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, content of a tender document per order with line items.
+def dealt(df: DataFrame, key: str) -> DataFrame:
+    """Rows that are small and dear to work on, dealt to several tasks a core.
 
-    The facts are small and what follows is dear, so they are dealt to several tasks a core. Dealt by ``doc_id`` itself they
-    would stay as the join left them, which the planner has put into as many tasks as there are cores and one more.
+    The planner goes by bytes and would put them into a few. Dealt by ``key`` itself they could stay as a join left them,
+    which the planner has put into as many tasks as there are cores and one more.
     """
-    n = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return facts(spark, sf_dir).repartition(n, F.xxhash64("doc_id")).selectExpr("doc_id", f"{to_spark(CONTENT)} AS content")
+    spark = df.sparkSession
+    return df.repartition(max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), F.xxhash64(key))
+
+
+def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, content of a tender document per order with line items."""
+    return dealt(facts(spark, sf_dir), "doc_id").selectExpr("doc_id", f"{to_spark(CONTENT)} AS content")
 
 
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -282,3 +282,14 @@ def test_texts_are_not_shuffled(spark, name):
 
     plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "xxhash64" in plan and "Exchange" not in plan[: plan.index("xxhash64") - 200] and plan.count("xxhash64") == 1
+
+
+@pytest.mark.parametrize("name", ["pdf_markdown", "evidence_box", "docx_markdown"])
+def test_files_are_read_by_all_cores(spark, name):
+    """A table in one file is dealt out before its rows become files, and the files are read in one pass."""
+    from bidlens.plans.catalogue import QUERIES
+
+    df = QUERIES[name](spark, "/root/testdata/sf0.001")
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("xxhash64") == 1 == plan.count("Scan parquet") and "Exchange" not in plan[: plan.index("xxhash64") - 200]
+    assert df.rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
