@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -40,3 +41,33 @@ def each(df: DataFrame, keep: list[str], given: list[str], make: Callable[[], Ca
                 yield pa.RecordBatch.from_arrays([*(part.column(j).take(where) for j in range(len(keep))), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names=names)
 
     return df.select(*keep, *given).mapInArrow(run, ", ".join(x for x in (kept, schema) if x))
+
+
+def by_key(df: DataFrame, key: str, order: list[str], fold: Callable[[list[tuple]], list[tuple]], schema: str) -> DataFrame:
+    """``key`` and the tuples that ``fold`` makes of each key's rows (without the key, in ``order``).
+
+    Keys are dealt out and sorted once and folded as they pass, many to a batch; a call of Spark for each key would cost more than most of them.
+    """
+    kept = f"`{key}` {df.schema[key].dataType.simpleString()}, {schema}"
+    fields = StructType.fromDDL(kept).fields
+    names, types = [f.name for f in fields], [to_arrow_type(f.dataType) for f in fields]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[tuple]:
+            for batch in batches:
+                for start in range(0, batch.num_rows, ROWS):
+                    yield from zip(*(c.to_pylist() for c in batch.slice(start, ROWS).columns), strict=True)
+
+        def out(held: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), types, strict=True)], names=names)
+
+        held: list[tuple] = []
+        for k, own in itertools.groupby(rows(), lambda r: r[0]):
+            held += [(k, *r) for r in fold([r[1:] for r in own])]
+            if len(held) >= ROWS:
+                yield out(held)
+                held = []
+        if held:
+            yield out(held)
+
+    return df.select(key, *(c for c in df.columns if c != key)).repartition(key).sortWithinPartitions(key, *order).mapInArrow(run, kept)

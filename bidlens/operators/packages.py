@@ -5,11 +5,12 @@ Documents are rows of (package_id, id, role, bidder, logical_name, revision, sup
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from bidlens.functions.passes import by_key
+
 #: Which role's value wins.
 ROLE_PRIORITY = {"other": 0, "attachment": 100, "tender": 200, "clarification": 300, "amendment": 400, "bid": 500}
 
@@ -39,22 +40,28 @@ def problems(docs: DataFrame) -> DataFrame:
     return out.union(row(cycles(docs), "cycle"))
 
 
+def rings(edges_: list[tuple[str, str]]) -> list[tuple[str]]:
+    """What is left of a package when documents that replace nothing left, or that nothing left replaces, are taken away."""
+    after: dict[str, set[str]] = {}
+    before: dict[str, set[str]] = {}
+    for a, b in edges_:
+        after.setdefault(a, set()).add(b)
+        before.setdefault(b, set()).add(a)
+    gone = [x for x in after.keys() | before.keys() if x not in after or x not in before]
+    for x in gone:  # grows as it goes
+        for ways, back in ((after, before), (before, after)):
+            for y in ways.pop(x, ()):
+                if y in back:
+                    back[y].discard(x)
+                    if not back[y]:
+                        del back[y]
+                        gone.append(y)
+    return [(x,) for x in sorted(after)]
+
+
 def cycles(docs: DataFrame) -> DataFrame:
     """package_id, id of documents on a ring of replacements, found package by package (a package is one manifest)."""
-
-    def rings(pdf: pd.DataFrame) -> pd.DataFrame:
-        """What is left when documents that replace nothing left, or that nothing left replaces, are taken away."""
-        live = set(zip(pdf["id"], pdf["target"], strict=True))
-        while True:
-            keep = {(a, b) for a, b in live if a in {y for _, y in live} and b in {x for x, _ in live}}
-            if keep == live:
-                break
-            live = keep
-        package = pdf["package_id"].iloc[0]
-        return pd.DataFrame([(package, a) for a in sorted({a for a, _ in live})], columns=["package_id", "id"], dtype=object)
-
-    kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
-    return edges(docs).where("id <> target").distinct().groupBy("package_id").applyInPandas(rings, f"package_id {kinds['package_id']}, id {kinds['id']}")
+    return by_key(edges(docs).where("id <> target"), "package_id", [], rings, f"id {docs.schema['id'].dataType.simpleString()}")
 
 
 def resolutions(docs: DataFrame) -> DataFrame:

@@ -293,3 +293,17 @@ def test_files_are_read_by_all_cores(spark, name):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert plan.count("xxhash64") == 1 == plan.count("Scan parquet") and "Exchange" not in plan[: plan.index("xxhash64") - 200]
     assert df.rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
+
+
+def test_rings_against_taking_edges_away():
+    """Random packages, and a chain long enough that a pass over it for each link would not end."""
+    import random
+
+    rng = random.Random(2)
+    for _ in range(300):
+        pairs = [(a, b) for a, b in ((rng.choice("abcdefg"), rng.choice("abcdefg")) for _ in range(rng.randrange(12))) if a != b]
+        live, old = set(pairs), None
+        while live != old:
+            old, live = live, {(a, b) for a, b in live if a in {y for _, y in live} and b in {x for x, _ in live}}
+        assert packages.rings(pairs) == [(a,) for a in sorted({a for a, _ in live})]
+    assert packages.rings([(f"{i:06d}", f"{i + 1:06d}") for i in range(100_000)]) == []
