@@ -307,3 +307,14 @@ def test_rings_against_taking_edges_away():
             old, live = live, {(a, b) for a, b in live if a in {y for _, y in live} and b in {x for x, _ in live}}
         assert packages.rings(pairs) == [(a,) for a in sorted({a for a, _ in live})]
     assert packages.rings([(f"{i:06d}", f"{i + 1:06d}") for i in range(100_000)]) == []
+
+
+def test_lsh_query_does_not_deal_out_signatures_of_the_index(spark):
+    """Hashes of bands are dealt out; of signatures (1 KB a text) only those of texts that were hit. Keys that repeat stay apart."""
+    rows = [(0, "abcdefghij" * 9), (1, "abcdefghij" * 9), (1, "another text altogether, of letters"), (2, "another text altogether, of letters")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = similar.lsh_query(df, df, "doc_id", "text")
+    got = sorted((r["query"], r["first"], r["copies"], r["estimate"]) for r in out.collect())
+    assert got == [(0, 0, 2, 1.0), (1, 0, 2, 1.0), (1, 1, 2, 1.0), (2, 1, 2, 1.0)]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("/hits-") + plan.count("Relation") >= 2 and "LeftSemi" in plan
